@@ -1,0 +1,46 @@
+import hashlib
+import random
+import re
+
+from loomtext.llm.secrets import RULES, find_secrets, redact_secrets, scanner
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def brute(text):
+    out = [(m.start(), m.end(), 0) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    out += [(m.start(), m.end(), 1) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), m.end(), 2) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(out, key=lambda x: (x[0], x[2]))
+
+
+def test_base_spans_equal_a_regex_engine():
+    scan, rnd = scanner(), random.Random(3)
+    words = ["password", "PassWD", "secret", "TOKEN", "api_key", "apikey", "API", "_", "key", '"', "'", " ", "  ", ":", "=", "abc", "f00", "deadbeefdeadbeef", "AKIA", "AKIAABCDEFGH", "0123456789abcdef", "é", "-", ".", "ſ", "\n", "Z9", "K", "ghp_", "xoxb-"]
+    for _ in range(8000):
+        text = "".join(rnd.choice(words) for _ in range(rnd.randint(0, 25)))
+        data = text.encode()
+        assert [x for x in scan.code_points(data, scan.spans(data)) if x[2] < 3] == brute(text), text
+
+
+def test_added_rules():
+    scan = scanner()
+    text = "é ghp_" + "a1B2" * 9 + " -----BEGIN RSA PRIVATE KEY----- AIza" + "x" * 35 + " sk_live_" + "0" * 16
+    found = [(RULES[k].kind, text[a:b]) for a, b, k in scan.code_points(text.encode(), scan.spans(text.encode()))]
+    assert [k for k, _ in found] == ["github", "private_key", "google", "stripe"]
+    assert found[1][1] == "-----BEGIN RSA PRIVATE KEY-----"
+
+
+def test_rows_nulls_empties_long_texts_and_clashing_columns(spark):
+    long = "x " * 400_000 + "token=abcdef"
+    rows = [(1, None, "a"), (2, "", "b"), (3, "é secret: hunter22", "c"), (3, "é secret: hunter22", "c"), (None, "token = short", "d"), (5, long, "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_hex string")
+    got = {(r.doc_id, r.spans): r for r in find_secrets(df).collect()}
+    assert len(find_secrets(df).collect()) == 6
+    empty = hashlib.sha256(b"").hexdigest()
+    assert got[(1, "")].base_sha256 == got[(2, "")].base_sha256 == got[(None, "")].base_sha256 == empty
+    assert got[(3, "assign:2:18")].n_assign == 1
+    assert (5, f"assign:800000:{800012}") in got
+    assert find_secrets(df.limit(0)).count() == 0
+    clean = {r.doc_id: r.text for r in redact_secrets(df).collect()}
+    assert clean[3] == "é [ASSIGN]" and clean[1] is None and redact_secrets(df).columns == df.columns
