@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomtext.llm.langid import language_id
 from loomtext.llm.secrets import find_secrets
 from loomtext.llm.simhash import near_duplicates
 
@@ -21,9 +22,14 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op10_language_id": op10_language_id,
 }
 
 #: DuckDB SQL by query; the others are tested against brute-force versions.
