@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomtext.llm.langid import language_id
+from loomtext.llm.linededup import dedup_lines
 from loomtext.llm.secrets import find_secrets
 from loomtext.llm.simhash import near_duplicates
 
@@ -22,6 +23,11 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs, count_col="n_dropped")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
@@ -29,6 +35,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_line_dedup": op5_line_dedup,
     "op10_language_id": op10_language_id,
 }
 
