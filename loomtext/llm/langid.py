@@ -31,6 +31,8 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 FOLDS = 5
 TRAIN_DOCS = 1000
 ROUNDS = 3
+#: The sample's words, bounded by TRAIN_DOCS, lie in so many partitions.
+WORD_PARTS = 12
 #: Added to each piece's expected count; probability of a code point outside the vocabulary.
 PRIOR, UNKNOWN = 0.1, 1e-7
 #: Probabilities are carried times SCALE for each code point, so that a stretch does not underflow.
@@ -125,7 +127,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     words = sample.mapInArrow(count, "lang string, word string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
     words = words.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("n"))
-    words = words.select("word", F.array(*(F.coalesce(F.col("n")[lang], F.lit(0)).cast("double") for lang in langs)).alias("n")).persist()
+    words = words.select("word", F.array(*(F.coalesce(F.col("n")[lang], F.lit(0)).cast("double") for lang in langs)).alias("n")).coalesce(WORD_PARTS).persist()
     sc = docs.sparkSession.sparkContext
     counts = np.ones((len(pieces), len(langs)))
     for _ in range(rounds):
@@ -135,8 +137,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             model = sent.value
             lattice, total = Lattice(model.pieces), np.zeros_like(model.weights)
             for batch in batches:
-                for part in slices(batch):
-                    total += expected_counts(lattice, model.weights, part.column(0).to_pylist(), np.array(part.column(1).to_pylist(), float))
+                if batch.num_rows:
+                    total += expected_counts(lattice, model.weights, batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), float))
             used = np.flatnonzero(total.sum(axis=1))
             yield pa.RecordBatch.from_pydict({"piece": used.astype(np.int32)} | {f"n{k}": total[used, k] for k in range(len(model.langs))})
 
