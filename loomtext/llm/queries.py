@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomtext.llm.langid import language_id
 from loomtext.llm.linededup import dedup_lines
+from loomtext.llm.media import stored_texts
 from loomtext.llm.packing import pack
 from loomtext.llm.secrets import find_secrets
 from loomtext.llm.simhash import near_duplicates
@@ -33,6 +34,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs, count_col="n_dropped")
 
 
+def op7_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_texts(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
@@ -42,6 +47,7 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_line_dedup": op5_line_dedup,
+    "op7_iso_media": op7_iso_media,
     "op10_language_id": op10_language_id,
 }
 
