@@ -11,6 +11,7 @@ from loomtext.llm.media import stored_texts
 from loomtext.llm.packing import pack
 from loomtext.llm.secrets import find_secrets
 from loomtext.llm.simhash import near_duplicates
+from loomtext.llm.urlfilter import judge_urls, oracle_sql as url_sql
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +39,10 @@ def op7_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_texts(table(spark, sf_dir, "documents"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages")).drop("score")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
@@ -48,8 +53,9 @@ QUERIES = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_line_dedup": op5_line_dedup,
     "op7_iso_media": op7_iso_media,
+    "op8_url_filter": op8_url_filter,
     "op10_language_id": op10_language_id,
 }
 
 #: DuckDB SQL by query; the others are tested against brute-force versions.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_url_filter": url_sql()}

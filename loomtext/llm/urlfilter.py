@@ -123,3 +123,33 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     score = F.round(F.col("mean") - threshold, 9)
     verdict = F.coalesce("ruled", F.when(score >= 0, "allow").otherwise("block"))
     return scored.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), score.alias("score"))
+
+
+def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:
+    """The same in DuckDB's SQL, over ``pages``."""
+    longest = sorted(rules, key=lambda r: -len(r.host) - len(r.path))
+    fits = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
+    case = lambda pick: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{pick(r)}'" for r in longest) + " END"
+    steps, before = [], {c: f"{1.0 / SYMBOLS!r}" for c in ("allow", "block")}
+    for n in range(1, ORDER + 1):
+        source = "grams" if n == 1 else f"p{n - 1}"
+        steps.append(f"""k{n} AS (SELECT *, right(gram, {n}) AS tail{n}, left(right(gram, {n}), {n - 1}) AS context{n} FROM {source}),
+s{n} AS (SELECT *, {", ".join(f"sum({c}) OVER (PARTITION BY tail{n}) AS {c}_c{n}" for c in before)}, row_number() OVER (PARTITION BY tail{n} ORDER BY gram) = 1 AS first{n} FROM k{n}),
+t{n} AS (SELECT *, {", ".join(f"sum({c}) OVER (PARTITION BY context{n}) AS {c}_n{n}, sum(CASE WHEN first{n} AND {c}_c{n} > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY context{n}) AS {c}_t{n}" for c in before)} FROM s{n}),
+p{n} AS (SELECT *, {", ".join(f"CASE WHEN {c}_n{n} > 0 THEN ({c}_c{n} + {c}_t{n} * {p}) / ({c}_n{n} + {c}_t{n}) ELSE {p} END::DOUBLE AS {c}_p{n}" for c, p in before.items())} FROM t{n})""")
+        before = {c: f"{c}_p{n}" for c in before}
+    return f"""WITH u AS (SELECT row_number() OVER () AS row, page_id, coalesce(url, '') AS url FROM pages),
+h AS (SELECT *, CASE WHEN strpos(url, '://') > 0 THEN translate(regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+  CASE WHEN strpos(url, '://') > 0 THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM u),
+r AS (SELECT *, {case(lambda r: r.host + r.path)} AS rule, {case(lambda r: r.verdict)} AS ruled, left(md5(url), 2) < '{HELD_OUT}' AS held,
+  repeat(chr(1), {ORDER - 1}) || regexp_replace(translate(lower(url), '123456789', '000000000'), '[^\\x21-\\x7e]', ' ', 'g') || chr(2) AS text FROM h),
+g AS (SELECT row, ruled, held, substr(text, i, {ORDER}) AS gram FROM (SELECT *, unnest(generate_series(1, length(text) - {ORDER - 1})) AS i FROM r)),
+grams AS (SELECT gram, count(*) FILTER (ruled = 'allow' AND NOT held) AS allow, count(*) FILTER (ruled = 'block' AND NOT held) AS block FROM g GROUP BY gram),
+{",".join(steps)},
+ratios AS (SELECT gram, ln({before["allow"]}) - ln({before["block"]}) AS ratio FROM p{ORDER}),
+scored AS (SELECT row, round(avg(ratio), 9) AS mean FROM g JOIN ratios USING (gram) GROUP BY row),
+fold AS (SELECT ruled, avg(mean) AS m, stddev_pop(mean) AS s FROM scored JOIN r USING (row) WHERE held AND ruled IS NOT NULL GROUP BY ruled),
+level AS (SELECT coalesce(round(CASE WHEN a.s + b.s > 0 THEN (a.m * b.s + b.m * a.s) / (a.s + b.s) ELSE (a.m + b.m) / 2 END, 9), 0) AS threshold
+  FROM (SELECT 1) LEFT JOIN (SELECT * FROM fold WHERE ruled = 'allow') a ON true LEFT JOIN (SELECT * FROM fold WHERE ruled = 'block') b ON true)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN round(mean - threshold, 9) >= 0 THEN 'allow' ELSE 'block' END) AS verdict
+FROM r JOIN scored USING (row), level"""
