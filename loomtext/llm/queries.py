@@ -12,6 +12,7 @@ from loomtext.llm.media import stored_texts
 from loomtext.llm.packing import pack
 from loomtext.llm.secrets import find_secrets
 from loomtext.llm.simhash import near_duplicates
+from loomtext.llm.sptok import nbest_digests
 from loomtext.llm.urlfilter import judge_urls, oracle_sql as url_sql
 
 
@@ -48,6 +49,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages")).drop("score")
 
 
+def op9_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbest_digests(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ QUERIES = {
     "op5_line_dedup": op5_line_dedup,
     "op7_iso_media": op7_iso_media,
     "op8_url_filter": op8_url_filter,
+    "op9_sentencepiece_nbest": op9_sentencepiece_nbest,
     "op10_language_id": op10_language_id,
 }
 
