@@ -3,8 +3,9 @@ production parameters, to its whole table."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from loomtext.llm.ann import nearest_neighbours
 from loomtext.llm.htmltext import extract_text
 from loomtext.llm.langid import language_id
 from loomtext.llm.linededup import dedup_lines
@@ -41,6 +42,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs, count_col="n_dropped")
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op7_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_texts(table(spark, sf_dir, "documents"))
 
@@ -63,6 +68,7 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_line_dedup": op5_line_dedup,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_iso_media": op7_iso_media,
     "op8_url_filter": op8_url_filter,
     "op9_sentencepiece_nbest": op9_sentencepiece_nbest,
