@@ -22,7 +22,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from functools import lru_cache
 from itertools import product
+from math import prod
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -34,10 +36,17 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 NBEST = 4
 #: Under the lowest score of the vocabulary, for a code point outside it.
 UNKNOWN_UNDER = 10.0
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 600_000
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
+@lru_cache(maxsize=4096)
+def combinations(sizes: tuple[int, ...], n: int) -> list[tuple[int, ...]]:
+    """Choices of one path of each list that can be among the n best: those that
+    fewer than n choices are at least as good as in every list."""
+    return [p for p in product(*map(range, sizes)) if prod(k + 1 for k in p) <= n]
+
+
 class Codec:
     def __init__(self, vocabulary: str = VOCABULARY):
         import sentencepiece
@@ -102,8 +111,8 @@ class Codec:
 
     def add(self, chunks: list[str]) -> None:
         """Best path and gap of new chunks, all chunks of a length at once."""
-        ids: list = [None] * len(chunks)
         best, gap = np.zeros(len(chunks)), np.zeros(len(chunks))
+        owners, places, found = [], [], []  # of the pieces on the best paths
         for at, codes in by_length(chunks):
             w, n = codes.shape
             edges = self.lattice.edges(codes)
@@ -135,23 +144,26 @@ class Codec:
                 through = fwd[: n - k].T + score[k] + bwd[k + 1 :].T
                 through[on[k]] = -np.inf
                 second = np.maximum(second, through.max(axis=1))
-            path: list[list] = [[] for _ in range(w)]
             for rows, start, k in steps:
-                for r, i, piece in zip(rows.tolist(), start.tolist(), (int(edges[b][r_, a]) for r_, a, b in zip(rows, start, k))):
-                    path[r].append((i, piece))
-            for r in range(w):
-                s, found = chunks[at[r]], []
-                for i, piece in reversed(path[r]):
-                    if piece == self.lattice.unknown:
-                        found += self.byte_ids(s[i])
-                    else:
-                        found.append(self.ids[piece])
-                ids[at[r]] = found
+                pieces = np.empty(len(rows), np.int64)
+                for length in np.unique(k):
+                    these = k == length
+                    pieces[these] = edges[length][rows[these], start[these]]
+                known = pieces != self.lattice.unknown
+                owners.append(at[rows[known]])
+                places.append(start[known] * 4)
+                found.append(self.ids[pieces[known]])
+                for r, i in zip(rows[~known].tolist(), start[~known].tolist()):
+                    raw = self.byte_ids(chunks[at[r]][i])
+                    owners.append(np.full(len(raw), at[r]))
+                    places.append(i * 4 + np.arange(len(raw)))
+                    found.append(np.array(raw, np.int32))
             best[at], gap[at] = fwd[n], fwd[n] - second
         self.known.update(zip(chunks, range(len(self.known), len(self.known) + len(chunks))))
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.int32, int(sizes.sum()))])
-        self.offset = np.concatenate([self.offset, self.offset[-1] + np.cumsum(sizes)])
+        owner = np.concatenate([np.zeros(0, np.int64), *owners])
+        order = np.lexsort((np.concatenate([np.zeros(0, np.int64), *places]), owner))
+        self.flat = np.concatenate([self.flat, np.concatenate([np.zeros(0, np.int32), *found])[order]])
+        self.offset = np.concatenate([self.offset, self.offset[-1] + np.cumsum(np.bincount(owner, minlength=len(chunks)))])
         self.best, self.gap = np.concatenate([self.best, best]), np.concatenate([self.gap, gap])
 
     # texts
@@ -214,8 +226,9 @@ class Codec:
                     if key not in self.paths:
                         self.paths[key] = self.nbest(*key)
                     options.append(self.paths[key])
-                picks = sorted(product(*(range(len(o)) for o in options)), key=lambda p: (-sum(o[k][0] - o[0][0] for o, k in zip(options, p)), p))[1:n]
-                for pick in picks:
+                lost_by = [[o[0][0] - x[0] for x in o] for o in options]
+                picks = [(sum(x[k] for x, k in zip(lost_by, p)), p) for p in combinations(tuple(map(len, options)), n)]
+                for _, pick in sorted(picks)[1:n]:
                     parts, done, lost = [], 0, 0.0
                     for at, o, k in zip(near.tolist(), options, pick):
                         if k:
