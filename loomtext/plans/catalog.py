@@ -67,13 +67,13 @@ S_MS = "(CASE WHEN {0} >= 3600 THEN ({0} // 3600)::VARCHAR || ':' || lpad(({0} %
 
 # text
 
-@query(f"SELECT doc_id, sha256({s_norm('text')}) AS digest, length({s_norm('text')}) AS n FROM documents")
+@query(f"SELECT doc_id, sha256({s_norm('text')}) AS digest, length({s_norm('text')})::INTEGER AS n FROM documents")
 def norm_prompt(t):
     x = T.normalize_for_prompt(F.col("text"))
     return t("documents").select("doc_id", F.sha2(x, 256).alias("digest"), F.length(x).alias("n"))
 
 
-@query(f"SELECT doc_id, nullif(length(text), 0) AS characters, nullif(len(list_filter(regexp_split_to_array(text, '\\r?\\n'), lambda x: {s_trim('x')} <> '')), 0) AS lines, nullif({s_words('text')}, 0) AS words FROM documents")
+@query(f"SELECT doc_id, nullif(length(text), 0)::INTEGER AS characters, nullif(len(list_filter(regexp_split_to_array(text, '\\r?\\n'), lambda x: {s_trim('x')} <> '')), 0)::INTEGER AS lines, nullif({s_words('text')}, 0)::INTEGER AS words FROM documents")
 def word_counts(t):
     return t("documents").select("doc_id", T.transcript_counts(F.col("text")).alias("c")).select("doc_id", "c.*")
 
@@ -93,7 +93,7 @@ b AS (SELECT *, greatest({', '.join(s_last('head', p) for p in ('. ', '! ', '? '
   least({', '.join(f"CASE WHEN strpos(tail, {p}) > 0 THEN strpos(tail, {p}) - 1 END" for p in ("chr(10)", "'. '", "'! '", "'? '"))}, {rest}) AS start FROM a),
 c AS (SELECT *, CASE WHEN cut > {first * 0.5} THEN substr(head, 1, cut + 1) ELSE head END AS h, CASE WHEN start < {rest * 0.5} THEN substr(tail, start + 2) ELSE tail END AS u FROM b),
 d AS (SELECT doc_id, text, {s_trim(f"CASE WHEN length(text) <= {most} THEN text ELSE regexp_replace(h, '[{WS}]+" + chr(92) + f"z', '') || '{mark}' || regexp_replace(u, '^[{WS}]+', '') END")} AS content FROM c)
-SELECT doc_id, sha256(content) AS digest, length(text) > {most} AS truncated, length(text) AS total_characters, {s_words('content')} AS word_count FROM d"""
+SELECT doc_id, sha256(content) AS digest, length(text) > {most} AS truncated, length(text)::INTEGER AS total_characters, {s_words('content')}::INTEGER AS word_count FROM d"""
 
 
 @query(_s_budget(1500))
@@ -171,7 +171,7 @@ def page_title_host(t):
     return t("pages").select("page_id", dom.facts(F.col("html"), F.col("url")).alias("f")).select("page_id", F.col("f.title").alias("title"), F.col("f.site_name").alias("site"))
 
 
-@query(r"SELECT page_id, length(regexp_replace(regexp_replace(regexp_replace(html, '<!--(.|\n)*?-->', '', 'g'), '<script(.|\n)*?</script>', '', 'g'), '<style(.|\n)*?</style>', '', 'g')) AS n FROM pages")
+@query(r"SELECT page_id, length(regexp_replace(regexp_replace(regexp_replace(html, '<!--(.|\n)*?-->', '', 'g'), '<script(.|\n)*?</script>', '', 'g'), '<style(.|\n)*?</style>', '', 'g'))::INTEGER AS n FROM pages")
 def html_precut(t):
     x = F.regexp_replace(F.col("html"), r"(?s)<!--.*?-->", "")
     x = F.regexp_replace(x, r"""(?is)<script\b(?![^>]*type\s*=\s*["']application/ld\+json["'])[^>]*>.*?</script\s*>""", "")
@@ -238,7 +238,7 @@ def cost_estimate(t):
     return M.total_cost(calls, prices, ["provider"]).withColumn("cost", F.round("cost", 2))
 
 
-@query("WITH r AS (SELECT p_partkey::VARCHAR AS id, p_size AS c, p_retailprice AS m, row_number() OVER (ORDER BY p_size DESC, p_partkey % 7 DESC, p_partkey % 5 DESC, p_partkey % 3 DESC, p_retailprice, p_partkey::VARCHAR) AS s FROM part), a AS (SELECT id, s AS pos FROM r WHERE s <= 5), b AS (SELECT id, 5 + row_number() OVER (ORDER BY id::BIGINT % 3 DESC, m, id) AS pos FROM r WHERE s > 5) SELECT * FROM a UNION ALL SELECT * FROM b WHERE pos <= 12")
+@query("WITH r AS (SELECT p_partkey::VARCHAR AS id, p_size AS c, p_retailprice AS m, row_number() OVER (ORDER BY p_size DESC, p_partkey % 7 DESC, p_partkey % 5 DESC, p_partkey % 3 DESC, p_retailprice, p_partkey::VARCHAR) AS s FROM part), a AS (SELECT id, s::INTEGER AS pos FROM r WHERE s <= 5), b AS (SELECT id, (5 + row_number() OVER (ORDER BY id::BIGINT % 3 DESC, m, id))::INTEGER AS pos FROM r WHERE s > 5) SELECT * FROM a UNION ALL SELECT * FROM b WHERE pos <= 12")
 def smart_fast_topk(t):
     k = F.col("p_partkey")
     rows = t("part").select(k.cast("string").alias("id"), F.col("p_size").alias("context_length"), (k % 7).alias("max_output"), (k % 5).alias("parameters"), (k % 3).alias("successes"), F.col("p_retailprice").alias("median_ms"))
