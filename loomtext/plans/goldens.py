@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from loomtext.functions import clock as K, markdown as MD, options as O, payloads as P, scan, text as T, urls as U
+from loomtext.functions import clock as K, markdown as MD, options as O, payloads as P, scan, services as V, text as T, urls as U
 from loomtext.operators import metrics as M, timeline as L
 
 
@@ -248,6 +248,45 @@ def _golden(cases) -> tuple:
     return run
 
 
+def cases_service() -> dict[str, tuple[Column, str | None]]:
+    b = lambda c: c.cast("string")
+    player = 'x ytInitialPlayerResponse = {"videoDetails":{"title":"T","lengthSeconds":"61"},"captions":{"playerCaptionsTracklistRenderer":{"captionTracks":[{"languageCode":"en","baseUrl":"u"}]}},"playabilityStatus":{"status":"ERROR","errorScreen":{"playerErrorMessageRenderer":{"reason":{"runs":[{"text":"Not"},{"text":"here"}]}}}}};'
+    panel = '{"actions":[{"updateEngagementPanelAction":{"content":{"transcriptRenderer":{"content":{"transcriptSearchPanelRenderer":{"body":{"transcriptSegmentListRenderer":{"initialSegments":[{"transcriptSegmentRenderer":{"startMs":"5","endMs":"9","snippet":{"runs":[{"text":"a "},{"text":"b"}]}}}]}}}}}}}}]}'
+    embed = '<script id="__NEXT_DATA__" type="x">{"props":{"pageProps":{"state":{"data":{"entity":{"subtitle":"S","title":"E","duration":1500},"defaultAudioFileObject":{"format":"MP4_128_CBCS"}}}}}}</script>'
+    return {
+        "IO-12 attach": (V.document_handling(s("file"), F.lit(False), F.lit(10), s("auto"), F.lit(True), s("google")), "attach"),
+        "IO-12 off": (V.document_handling(s("file"), F.lit(False), F.lit(10), s("off"), F.lit(True), s("xai")), "error"),
+        "IO-12 inline": (V.document_handling(s("image"), F.lit(False), F.lit(10), s("off"), F.lit(True), s("xai")), "inline"),
+        "IO-18 markdown": (V.scraped_markdown(s('{"data":{"markdown":" ","content":"c"}}')), "c"),
+        "H-09 metadata": (j(V.scraped_metadata(s('{"metadata":{"ogTitle":" t ","description":"d"}}'))), '{"title":"t","description":"d"}'),
+        "PF-24 stream": (b(V.can_stream(s("openai"), s("native"), F.array(s("document")))), "false"),
+        "PF-24 unsupported": (b(V.streaming_unsupported(s("streamGenerateContent is not supported"), s(None))), "true"),
+        "X-18 video": (b(V.capability(s("google"), "video")), "true"),
+        "X-19 alias": (b(V.has_key(s("GEMINI_API_KEY"), F.array(s("GOOGLE_API_KEY")))), "true"),
+        "X-13 name": (V.audio_name(s(" talk "), s("audio/WAV; x")), "talk.wav"),
+        "X-14 length": (b(V.content_length(s("12.7"))), "12"),
+        "X-14 name": (V.url_filename(s("https://a.b/c/d.mp3?x")), "d.mp3"),
+        "X-12 text": (j(V.candidate_text(s('{"candidates":[{"content":{"parts":[{"text":"a"},{"text":"b"}]}}]}'))), '{"text":"ab"}'),
+        "X-12 stopped": (j(V.candidate_text(s('{"candidates":[{"finishReason":"SAFETY"}]}'))), '{"stopped":"SAFETY"}'),
+        "X-02 ids": (j(V.model_ids(s('{"data":[{"id":"b"},{"id":" a "},{"id":"b"},{}]}'))), '["a","b"]'),
+        "X-03 request": (V.request_body(s('{"url":"ftp://x","mode":"PAGE","maxCharacters":5}'))["problem"], "missing url"),
+        "X-03 mode": (V.request_body(s('{"url":"http://x","mode":"PAGE","text":"t","maxExtractCharacters":5}'))["mode"], "page"),
+        "H-15 player": (j(V.player_facts(V.player_response(s(player)))), '{"title":"T","seconds":61.0,"tracks":[{"language":"en","kind":"","url":"u"}]}'),
+        "H-16 reason": (V.playability_reason(V.player_response(s(player))), "Not here"),
+        "H-17 embed": (j(V.podcast_embed(s(embed))), '{"show":"S","episode":"E","seconds":1.5,"format":"MP4_128_CBCS"}'),
+        "H-18 title": (V.apple_title(s("<meta name='apple:title' content='One'>")), "One"),
+        "H-18 url": (V.embedded_url(s('{"streamUrl":"http:\\/\\/a\\/b"}'), "streamUrl"), "http://a/b"),
+        "H-25 panel": (j(V.panel_segments(s(panel))), '[{"startMs":5,"endMs":9,"text":"a b"}]'),
+        "X-07 preview": (b(V.looks_like_preview(F.lit(500), F.lit(700))), "true"),
+        "X-08 encrypted": (b(V.is_encrypted(s("MP4_128_CBCS"))), "true"),
+        "T-39 tokens": (b(T.token_estimate(V.clipped_to_tokens(s("word. " * 900), 300)) <= 300), "true"),
+        "SL-14 front": (j(V.moved_to_front(F.array(s("a"), s("b"), s("c")), s("b"))), '["b","a","c"]'),
+        "X-17 label": (V.chain_label(F.array(s("groq"), s("local"))), "groq->local"),
+        "X-21 bands": (V.bands_problem(F.lit(5), F.lit(2)), "bounds out of order"),
+        "T-31 finish": (V.finish_line(s("1.2s"), s("m"), F.lit(1200), s(None)), "1.2s · 1,200 words · m"),
+    }
+
+
 class _Literals:
     """A stand-in for columns, so that expected values can be read without a session."""
 
@@ -261,7 +300,7 @@ class _Literals:
 
 
 def _sql(cases) -> str:
-    names = ("F", "K", "MD", "O", "P", "scan", "T", "U", "M", "L", "s", "nums", "j")
+    names = ("F", "K", "MD", "O", "P", "scan", "T", "U", "V", "M", "L", "s", "nums", "j")
     own = {n: globals()[n] for n in names}
     globals().update(dict.fromkeys(names, _Literals()))
     try:
@@ -272,4 +311,4 @@ def _sql(cases) -> str:
     return "SELECT * FROM (VALUES " + ", ".join(f"({quote(n)}, {quote(v)})" for n, v in rows) + ') AS t("case", value)'
 
 
-GOLDENS = {f.__name__.replace("cases_", "golden_"): (_golden(f), _sql(f)) for f in (cases_text, cases_url, cases_time, cases_payload, cases_option)}
+GOLDENS = {f.__name__.replace("cases_", "golden_"): (_golden(f), _sql(f)) for f in (cases_text, cases_url, cases_time, cases_payload, cases_option, cases_service)}
