@@ -15,7 +15,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, functions as F
 
-from loomtext.llm.shared import cut
+from loomtext.llm.shared import cut, release
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -36,6 +36,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         for side in ("u", "v"):
             edges = edges.join(goal.select(F.col("u").alias(side), "to"), side).drop(side).withColumnRenamed("to", side)
         edges = cut(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+        del both
+        release(edges.sparkSession)
     labels = nodes.withColumn("label", F.col("node"))
     for goal in rounds:
         labels = labels.join(goal.select(F.col("u").alias("label"), "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))

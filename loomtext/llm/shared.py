@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,3 +21,11 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and stored in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def release(spark: SparkSession) -> None:
+    """Asks the driver to collect its garbage. Spark removes the shuffle files and
+    checkpoints of steps that nothing refers to only then, and an operator of
+    many steps would otherwise keep them all until it ends."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
