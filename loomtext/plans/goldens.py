@@ -24,11 +24,11 @@ def j(x: Column) -> Column:
 def cases_text() -> dict[str, tuple[Column, str | None]]:
     budget = T.content_budget(s("word. " * 200), 600)
     return {
-        "T-01 invisible": (T.strip_invisible(s("a​b⁠c﻿\U000e0041d")), "abcd"),
-        "T-02 normalize": (T.normalize_for_prompt(s("“Hello”  \"world\t\t\n\n  next \n\n\n line")), "“Hello” \"world\nnext\nline"),
+        "T-01 invisible": (T.strip_invisible(s("a\u200bb\u2060c\ufeff\U000e0041d")), "abcd"),
+        "T-02 normalize": (T.normalize_for_prompt(s("“Hello”\u00a0\u00a0\"world\t\t\n\n  next \n\n\n line")), "“Hello” \"world\nnext\nline"),
         "T-04 entities": (T.decode_html_entities(s("&amp;lt; &quot;x&#39;&nbsp;y")), "< \"x' y"),
         "T-05 candidate": (T.normalize_candidate(s("  a \n b ")), "a b"),
-        "T-05 blank": (T.normalize_candidate(s("  \n")), None),
+        "T-05 blank": (T.normalize_candidate(s(" \u00a0\n")), None),
         "T-06 sentence": (T.clip_at_sentence(s("First sentence. Second sentence. Third sentence."), 22), "First sentence."),
         "T-06 short": (T.clip_at_sentence(s("First sentence. Second sentence. Third sentence."), 3), "Fir"),
         "T-07 within budget": ((F.length(budget["content"]) <= 600).cast("string"), "true"),
