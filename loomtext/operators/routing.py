@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomtext.functions import options, text as T
 
+MOST_RULES = 1000
+
 
 def rule_candidates(requests: DataFrame, rules: DataFrame) -> DataFrame:
     """(id, pos, candidate) for ``requests`` (id, kind, tokens).
@@ -13,12 +15,18 @@ def rule_candidates(requests: DataFrame, rules: DataFrame) -> DataFrame:
     ``rules`` (rule, band, kinds array, low, high, candidates array) are in order
     of rule and band; a rule without kinds is for all, a band without bounds for
     any count. Of each request's first fitting rule and band the candidates are
-    returned. Rules are a configuration of a few rows, joined by a test."""
-    fits = (F.coalesce(F.size("kinds"), F.lit(0)) <= 0) | F.array_contains("kinds", F.col("kind"))
-    bounded = F.col("low").isNotNull() | F.col("high").isNotNull()
-    in_band = ~bounded | F.coalesce((F.col("tokens") >= F.coalesce("low", F.lit(0))) & (F.col("tokens") <= F.coalesce("high", F.lit(1 << 62))), F.lit(False))
-    best = requests.join(F.broadcast(rules.limit(1000)), fits & in_band).groupBy("id").agg(F.min_by("candidates", F.struct("rule", "band")).alias("candidates"))
-    return best.select("id", F.posexplode("candidates").alias("pos", "candidate"))
+    returned. Rules are a configuration: they are read on the driver, up to
+    ``MOST_RULES`` of them, and become one expression, so there is no join."""
+    found = rules.orderBy("rule", "band").limit(MOST_RULES + 1).collect()
+    if len(found) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    chosen = F.lit(None).cast("array<string>")
+    for r in reversed(found):
+        fits = F.col("kind").isin(*r["kinds"]) if r["kinds"] else F.lit(True)
+        if r["low"] is not None or r["high"] is not None:
+            fits = fits & F.col("tokens").between(r["low"] or 0, (1 << 62) if r["high"] is None else r["high"])
+        chosen = F.when(F.coalesce(fits, F.lit(False)), F.array(*map(F.lit, r["candidates"]))).otherwise(chosen)
+    return requests.select("id", F.posexplode(chosen).alias("pos", "candidate"))
 
 
 def _slug(model: Column) -> Column:
