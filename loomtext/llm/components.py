@@ -15,27 +15,27 @@ from functools import partial
 
 from pyspark.sql import DataFrame, functions as F
 
-from loomtext.llm.shared import cut, release
+from loomtext.llm.shared import cut, cut_small, release
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of the
     ``edges`` (u long, v long). Self-links and repeats are allowed; no edges
     give no rows."""
-    edges = cut(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").distinct())
+    edges, left = cut_small(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").distinct())
     nodes = edges.select(F.col("u").alias("node")).union(edges.select(F.col("v").alias("node"))).distinct()
     rounds: list[DataFrame] = []
-    while not edges.isEmpty():
+    while left:
         k = len(rounds)
         order = F.col if k < 2 else partial(F.xxhash64, F.lit(k))
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         goal = both.groupBy("u").agg(F.min(F.struct(order("v").alias("o"), F.col("v").alias("v"))).alias("best"))
         goal = goal.select("u", F.when(order("u") <= F.col("best.o"), F.col("u")).otherwise(F.col("best.v")).alias("to"))
-        goal = cut(goal)
+        goal, _ = cut_small(goal)
         rounds.append(goal)
         for side in ("u", "v"):
             edges = edges.join(goal.select(F.col("u").alias(side), "to"), side).drop(side).withColumnRenamed("to", side)
-        edges = cut(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+        edges, left = cut_small(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
         del both
         release(edges.sparkSession)
     labels = nodes.withColumn("label", F.col("node"))

@@ -23,6 +23,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def cut_small(df: DataFrame, rows: int = 50_000) -> tuple[DataFrame, int]:
+    """``df`` stored as by ``cut``, in no more partitions than its rows need, and
+    its number of rows: what few rows are left of a step costs few tasks and
+    shuffle files in the next."""
+    stored = cut(df)
+    n = stored.count()
+    return stored.coalesce(max(1, -(-n // rows))), n
+
+
 def release(spark: SparkSession) -> None:
     """Asks the driver to collect its garbage. Spark removes the shuffle files and
     checkpoints of steps that nothing refers to only then, and an operator of
