@@ -94,15 +94,23 @@ def text_cluster(text: Column) -> Column:
     return F.xxhash64(F.lower(F.regexp_replace(text, r"\s+", " ")))
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster: Column | None = None, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def row_keys(id_col: str, text_col: str) -> list[Column]:
+    """Two hashes, never null, that rows share only if id and text are equal."""
+    return [F.xxhash64(F.col(id_col).isNull(), id_col).alias("id_key"), F.xxhash64(text_col).alias("text_key")]
+
+
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster: Column | None = None, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, keyed: bool = True) -> DataFrame:
     """(id, piece, start, end, shard, bin, offset, bin_id) of every piece: the
-    code points [start, end) of a text lie at ``offset`` of bin ``bin_id``."""
+    code points [start, end) of a text lie at ``offset`` of bin ``bin_id``. With
+    ``keyed``, its row's keys too, by which ``packed_texts`` finds the text."""
+    named = ["id_key", "text_key"] if keyed else []
     cluster = text_cluster(F.col(text_col)) if cluster is None else cluster
     rows = docs.where(F.length(text_col) > 0)
     shards = max(1, -(-docs.count() // shard_rows))
     rows = rows.select(
         F.col(id_col).cast("long").alias("id"), F.length(text_col).alias("n"), F.col(source_col).cast("string").alias("source"), cluster.cast("long").alias("cluster"),
         F.pmod(F.xxhash64(F.lit("shard"), id_col, text_col), F.lit(shards)).cast("int").alias("shard"),
+        *(row_keys(id_col, text_col) if keyed else []),
     )
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -123,16 +131,23 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
         out["bin"] = np.concatenate([first + np.arange(len(owner)), np.array(to, np.int64)]).astype(np.int64)
         out["offset"] = np.concatenate([np.zeros(len(owner), np.int64), np.array(offset, np.int64)])
         out["bin_id"] = out["bin"] * shards + shard
+        for col in named:
+            out[col] = pdf[col].to_numpy()[at]
         return out
 
-    schema = "id long, piece int, start int, end int, shard int, bin long, offset int, bin_id long"
+    schema = "id long, piece int, start int, end int, shard int, bin long, offset int, bin_id long" + "".join(f", {col} long" for col in named)
     return rows.groupBy("shard").applyInPandas(run, schema).withColumnRenamed("id", id_col)
 
 
 def packed_texts(docs: DataFrame, pieces: DataFrame, id_col: str = "doc_id", text_col: str = "text", separator: str = "\n\n") -> DataFrame:
     """(bin_id, doc_ids, n_chars, text): the bins, their pieces in order of
-    offset joined by ``separator``. Ids must be unique in ``docs``."""
-    parts = pieces.join(docs.select(id_col, text_col), id_col)
+    offset joined by ``separator``. ``pieces`` are keyed. Ids may be null or
+    repeated: rows of one id and text are alike, so each piece takes its text
+    from any of them, and the others do not multiply it."""
+    keys = ["id_key", "text_key"]
+    texts = docs.where(F.length(text_col) > 0).select(*row_keys(id_col, text_col), id_col, text_col)
+    texts = texts.groupBy(keys).agg(F.first(id_col).alias(id_col), F.first(text_col).alias(text_col))
+    parts = pieces.drop(id_col).join(texts, keys)
     parts = parts.select("bin_id", "offset", F.col(id_col).alias("id"), F.expr("end - start").alias("n"), F.expr(f"substring(`{text_col}`, start + 1, end - start)").alias("part"))
     bins = parts.groupBy("bin_id").agg(F.array_sort(F.collect_list(F.struct("offset", "id", "n", "part"))).alias("parts"))
     total = F.aggregate("parts", F.lit(0), lambda a, p: a + p["n"])

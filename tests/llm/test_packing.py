@@ -58,3 +58,13 @@ def test_pieces_cover_texts_and_rebuild(spark):
     assert pack(df.limit(0)).count() == 0
     same = spark.createDataFrame([(1, "abc", "a")] * 4 + [(None, "abc", "a")], "doc_id long, text string, source string")
     assert len({r.bin_id for r in pack(same).collect()}) == 5
+
+
+def test_texts_of_null_and_repeated_ids(spark):
+    big = 2**60 + 1
+    rows = [(None, "n" * 12, "a"), (None, "m" * 7, "b"), (None, "m" * 7, "c"), (1, "x" * 25, "a"), (1, "x" * 25, "a"), (1, "y" * 4, "b"), (big, "z" * 3, "c"), (2, "", "c"), (3, None, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    bins = packed_texts(df, pack(df, capacity=10), separator="").collect()
+    assert all(b.n_chars == len(b.text) <= 10 for b in bins)
+    assert collections.Counter("".join(b.text for b in bins)) == collections.Counter("".join(t or "" for _, t, _ in rows))
+    assert collections.Counter(i for b in bins for i in b.doc_ids) == {None: 4, 1: 7, big: 1}

@@ -35,3 +35,11 @@ def test_stages_take_effect(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_null_and_repeated_ids_reach_the_bins(spark):
+    rows = [(None, "A text without an id."), (None, "Another one, also without."), (7, "Text of a repeated id."), (7, "Its second text is quite another."), (7, "Text of a repeated id.")]
+    docs = spark.createDataFrame([(i, t, "en", f"src{k}", len(t)) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    bins = corpus_pipeline.packing(spark, docs, "").collect()
+    parts = collections.Counter(p for b in bins for p in b.text.split("\n\n"))
+    assert parts == collections.Counter(t for _, t in rows) and sum(b.n_chars for b in bins) == sum(len(t) for _, t in rows)
