@@ -1,40 +1,57 @@
-"""Where lineage is cut: the folder that driver and executors share."""
+"""Where lineage is cut: tables in the folder that driver and executors share."""
 
 from __future__ import annotations
 
-import gc
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder. Only where neither the context nor
-    ``spark.checkpoint.dir`` names one, as in tests, a local one is made."""
+    """The session's checkpoint folder. Where neither the context nor
+    ``spark.checkpoint.dir`` names one, a local session, as in tests, gets a
+    folder of its own and any other is an error."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomtext-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith(("local[", "local")) or not named and sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomtext-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and stored in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def cut_small(df: DataFrame, rows: int = 50_000) -> tuple[DataFrame, int]:
-    """``df`` stored as by ``cut``, in no more partitions than its rows need, and
-    its number of rows: what few rows are left of a step costs few tasks and
-    shuffle files in the next."""
-    stored = cut(df)
-    n = stored.count()
-    return stored.coalesce(max(1, -(-n // rows))), n
-
-
-def release(spark: SparkSession) -> None:
-    """Asks the driver to collect its garbage. Spark removes the shuffle files and
-    checkpoints of steps that nothing refers to only then, and an operator of
-    many steps would otherwise keep them all until it ends."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """``df`` computed once and stored as a table in the shared folder."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._stored_at = path
+    return stored
+
+
+def discard(*stored: DataFrame) -> None:
+    """Deletes tables of ``cut`` that nothing will read again."""
+    for df in stored:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+@contextmanager
+def steps(spark: SparkSession) -> Iterator[None]:
+    """Within it, shuffle files go as soon as the step that wrote them ends, as
+    every step is stored by ``cut``; otherwise an operator of many steps keeps them all."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
