@@ -42,25 +42,54 @@ def dotenv(text: str) -> dict[str, str]:
     return out
 
 
+#: Characters compared from the start and at most overlapping, and how
+#: much of the text so far a chunk must repeat to count as a corrected resend.
+COMPARED, OVERLAP, SLACK, SHARE = 4096, 2048, 64, 0.9
+
+
+def shared_head(a: str, b: str) -> int:
+    """How many characters two texts begin with alike, by bisection."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if a[low:middle] == b[low:middle] else (low, middle - 1)
+    return low
+
+
+def continued(head: str, tail: str) -> int:
+    """The longest beginning of ``head`` that ends ``tail``, by its prefix function."""
+    back = [0] * (len(head) + 1)
+    state = 0
+    for i, c in enumerate(head):
+        while i and state and head[state] != c:
+            state = back[state]
+        state += bool(i and head[state] == c)
+        back[i + 1] = state
+    state = 0
+    for c in tail:
+        while state and (state == len(head) or head[state] != c):
+            state = back[state]
+        state += head[state] == c
+    return state
+
+
 def merge_chunk(before: str, chunk: str) -> tuple[str, str]:
     """(text, appended) after a chunk of a stream that may resend what it sent: all
-    of it, a part, nearly all of it, or an overlap of up to 2048 characters."""
+    of it, a part, nearly all of it, or an overlap of up to OVERLAP characters."""
     if not chunk:
         return before, ""
-    prev, new = (re.sub(r"\r\n?", "\n", x) for x in (before, chunk))
-    if not prev or new.startswith(prev):
-        return new, new[len(prev) :]
-    if prev.startswith(new):
-        return prev, ""
-    if len(new) >= len(prev):
-        most = min(len(prev), 4096)
-        same = next((i for i in range(most) if prev[i] != new[i]), most)
-        if same and same >= max(len(prev) - 64, int(len(prev) * 0.9)):
-            return new, new[same:]
-    for n in range(min(len(prev), len(new), 2048), 0, -1):
-        if prev[-n:] == new[:n]:
-            return prev + new[n:], new[n:]
-    return prev + new, new
+    old, new = ("\n".join(x.replace("\r\n", "\n").split("\r")) for x in (before, chunk))
+    alike = shared_head(old, new)
+    if alike == len(new):
+        return (old, "") if old else (new, new)
+    first = min(alike, COMPARED)
+    resent = alike == len(old) or len(new) >= len(old) and first >= max(len(old) - SLACK, int(len(old) * SHARE), 1)
+    if resent:
+        known = alike if alike == len(old) else first
+        return new, new[known:]
+    most = min(len(old), len(new), OVERLAP)
+    added = new[continued(new[:most], old[-most:]) :]
+    return old + added, added
 
 
 def gate(states: list[str], lines: bool) -> list[str]:

@@ -83,7 +83,7 @@ def model_ids(raw: Column) -> Column:
 
 
 def request_body(raw: Column) -> Column:
-    """The fields of a summarize request, of the right types or defaults, and what is wrong with it."""
+    """The fields of a request, of the right types or defaults, and what is wrong with it."""
     v = P.parsed(raw)
     words = lambda p: F.trim(P.field(v, p))
     limit = F.coalesce(P.field(v, "$.maxExtractCharacters", "double"), P.field(v, "$.maxCharacters", "double"))

@@ -134,11 +134,11 @@ def source_ids(t):
     return t("documents").select("doc_id", T.source_id(F.col("source"), F.substring("text", 1, 90), F.col("text")).alias("id"))
 
 
-@query("SELECT doc_id, sha256('<instructions>' || chr(10) || 'Summarize in ' || lang || '.' || chr(10) || '</instructions>' || chr(10) || chr(10) || '<context>' || chr(10) || source || chr(10) || '</context>' || chr(10) || chr(10) || '<content>' || chr(10) || text || chr(10) || '</content>' || chr(10)) AS digest FROM documents")
+@query("SELECT doc_id, sha256('<instructions>' || chr(10) || 'Write the result in ' || lang || '.' || chr(10) || '</instructions>' || chr(10) || chr(10) || '<context>' || chr(10) || source || chr(10) || '</context>' || chr(10) || chr(10) || '<content>' || chr(10) || text || chr(10) || '</content>' || chr(10)) AS digest FROM documents")
 def summary_prompt(t):
     from loomtext.functions import options as O
 
-    prompt = O.tagged_prompt(F.concat(F.lit("Summarize in "), F.col("lang"), F.lit(".")), F.col("source"), F.col("text"))
+    prompt = O.tagged_prompt(F.concat(F.lit("Write the result in "), F.col("lang"), F.lit(".")), F.col("source"), F.col("text"))
     return t("documents").select("doc_id", F.sha2(prompt, 256).alias("digest"))
 
 

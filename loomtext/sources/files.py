@@ -19,12 +19,15 @@ MOST_BYTES = 50 << 20
 
 
 def load_files(spark: SparkSession, path: str, most: int = MOST_BYTES) -> DataFrame:
-    """(path, name, bytes, media_type, text): files within the size limit; text where it is UTF-8 text."""
-    rows = spark.read.format("binaryFile").load(path).where(F.col("length") <= most)
+    """(path, name, bytes, media_type, text, problem): text where it is UTF-8 text; a
+    file over the size limit is not read and has the problem ``too large``."""
+    found = spark.read.format("binaryFile").load(path)
+    rows = found.where(F.col("length") <= most)
     name = F.regexp_extract("path", r"[^/]*\z", 0)
     kind = urls.mime_of(F.col("content"), F.lit(None).cast("string"), name)
     readable = F.is_valid_utf8(F.col("content").cast("string"))
-    return rows.select("path", name.alias("name"), F.col("content").alias("bytes"), kind.alias("media_type"), F.when(urls.is_text_type(kind) & readable, F.col("content").cast("string")).alias("text"))
+    rows = rows.select("path", name.alias("name"), F.col("content").alias("bytes"), kind.alias("media_type"), F.when(urls.is_text_type(kind) & readable, F.col("content").cast("string")).alias("text"), F.lit(None).cast("string").alias("problem"))
+    return rows.union(found.where(F.col("length") > most).select("path", name, F.lit(None), F.lit(None), F.lit(None), F.lit("too large")))
 
 
 def spooled(rows: DataFrame, column: str = "bytes", most: int = MOST_BYTES) -> DataFrame:

@@ -90,6 +90,8 @@ def test_merge_chunk():
     assert scan.merge_chunk(long, "x" * 100 + "!?")[0] == "x" * 100 + "!?"
     rnd = random.Random(3)
     for _ in range(300):
+        head, tail = ("".join(rnd.choice("ab") for _ in range(rnd.randint(1, 9))) for _ in range(2))
+        assert scan.continued(head, tail) == max(k for k in range(min(len(head), len(tail)) + 1) if tail.endswith(head[:k]))
         text = "".join(rnd.choice("ab ") for _ in range(rnd.randint(1, 40)))
         now = ""
         for i in range(1, len(text) + 1):
@@ -139,6 +141,8 @@ def test_files(spark, tmp_path):
     (tmp_path / "b.pdf").write_bytes(b"%PDF-1.7 \xff")
     got = {r.name: (r.media_type, r.text) for r in files.load_files(spark, str(tmp_path)).collect()}
     assert got == {"a.txt": ("text/plain", "one\ntwo\nthree\n"), "b.pdf": ("application/pdf", None)}
+    limited = {r.name: (r.bytes is None, r.problem) for r in files.load_files(spark, str(tmp_path), 12).collect()}
+    assert limited == {"a.txt": (True, "too large"), "b.pdf": (False, None)}
     assert [r.line for r in files.log_tail(spark, str(tmp_path / "a.txt"), 2).orderBy("n").collect()] == ["two", "three"]
     assert [r.line for r in files.log_tail(spark, str(tmp_path / "a.txt"), 9, 8).orderBy("n").collect()] == ["three"]
     spooled = files.spooled(spark.createDataFrame([(bytearray(b"ok"),), (bytearray(b"\0"),), (bytearray(b" "),)], "bytes binary"))
