@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loomtext.llm.lattice import SPACE, Lattice, by_length, read_vocabulary, stretches
+from loomtext.llm.lattice import SPACE, Lattice, by_length, read_vocabulary
 from loomtext.llm.rows import map_slices, slices
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -35,8 +35,10 @@ ROUNDS = 3
 WORD_PARTS = 12
 #: Added to each piece's expected count; probability of a code point outside the vocabulary.
 PRIOR, UNKNOWN = 0.1, 1e-7
-#: Probabilities are carried times SCALE for each code point, so that a stretch does not underflow.
+#: Probabilities are carried times SCALE for each code point, and sums are brought
+#: back to 1 every RESCALE code points, so that a word of any length does not underflow.
 SCALE = 200.0
+RESCALE = 32
 CACHE_WORDS = 400_000
 
 
@@ -56,45 +58,56 @@ class LanguageModel:
         return cls(langs, pieces, np.concatenate([p * scale, np.zeros((1, n)), np.full((1, n), UNKNOWN * SCALE)]))
 
 
-def forward(edges: list[np.ndarray], weights: np.ndarray, n: int) -> list[np.ndarray]:
-    """alpha[j]: (strings, languages), the sum over segmentations of the first j code points."""
-    alpha = [np.ones((edges[0].shape[0], weights.shape[1]))]
+def forward(edges: list[np.ndarray], weights: np.ndarray, n: int, last_only: bool = False) -> tuple[list[np.ndarray], np.ndarray]:
+    """alpha[j]: (strings, languages), the sum over segmentations of the first j code
+    points, and logs[j]: the logarithm of what alpha[j] was divided by, as a factor of
+    every alpha of the same or a later stretch of RESCALE code points."""
+    shape = edges[0].shape[0], weights.shape[1]
+    alpha, logs, near = [np.ones(shape)], [np.zeros(shape)], [np.ones(shape)]
     for j in range(1, n + 1):
-        total = alpha[j - 1] * weights[edges[0][:, j - 1]]
+        total = near[-1] * weights[edges[0][:, j - 1]]
         for k in range(1, min(j, len(edges))):
-            total += alpha[j - 1 - k] * weights[edges[k][:, j - 1 - k]]
-        alpha.append(total)
-    return alpha
+            total += near[-1 - k] * weights[edges[k][:, j - 1 - k]]
+        log = logs[-1]
+        near = [*near[-len(edges) + 1 :], total] if len(edges) > 1 else [total]
+        if j % RESCALE == 0:
+            log = log + np.log(total)
+            near = [x / total for x in near]
+        if last_only:
+            alpha, logs = [], []
+        alpha.append(near[-1])
+        logs.append(log)
+    return alpha, logs
 
 
 def word_scores(lattice: Lattice, weights: np.ndarray, words: list[str]) -> np.ndarray:
     """Log-likelihoods (words, languages)."""
-    parts, owner = stretches([SPACE + w for w in words])
     out = np.zeros((len(words), weights.shape[1]))
-    for at, codes in by_length(parts):
+    for at, codes in by_length([SPACE + w for w in words]):
         n = codes.shape[1]
-        np.add.at(out, owner[at], np.log(forward(lattice.edges(codes), weights, n)[n]) - n * np.log(SCALE))
+        alpha, logs = forward(lattice.edges(codes), weights, n, last_only=True)
+        out[at] = np.log(alpha[-1]) + logs[-1] - n * np.log(SCALE)
     return out
 
 
 def expected_counts(lattice: Lattice, weights: np.ndarray, words: list[str], counts: np.ndarray) -> np.ndarray:
     """Expected uses of each piece (pieces + 2, languages); counts (words, languages)."""
-    parts, owner = stretches([SPACE + w for w in words])
     out = np.zeros_like(weights)
-    for at, codes in by_length(parts):
+    for at, codes in by_length([SPACE + w for w in words]):
         n, edges = codes.shape[1], lattice.edges(codes)
-        alpha = forward(edges, weights, n)
-        beta = [None] * n + [np.ones_like(alpha[0])]
-        for i in range(n - 1, -1, -1):
-            beta[i] = sum(beta[i + k + 1] * weights[edges[k][:, i]] for k in range(min(len(edges), n - i)))
-        share = counts[owner[at]] / alpha[n]
+        alpha, logs = forward(edges, weights, n)
+        # beta by the same sums from the end, over the reversed lattice
+        back = [np.ascontiguousarray(e[:, ::-1]) for e in edges]
+        beta, behind = forward(back, weights, n)
+        whole = np.log(alpha[n]) + logs[n]
         for k, ids in enumerate(edges):
             for i in range(n - k):
                 here = ids[:, i]
                 used = np.flatnonzero(here != lattice.miss)
                 if len(used):
-                    here = here[used]
-                    value = share[used] * alpha[i][used] * weights[here] * beta[i + k + 1][used]
+                    here, rest = here[used], n - i - k - 1
+                    factor = np.exp(logs[i][used] + behind[rest][used] - whole[used]) if n >= RESCALE else 1 / alpha[n][used]
+                    value = counts[at[used]] * factor * alpha[i][used] * weights[here] * beta[rest][used]
                     for lang in range(out.shape[1]):
                         out[:, lang] += np.bincount(here, value[:, lang], len(out))
     return out

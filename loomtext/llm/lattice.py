@@ -1,9 +1,8 @@
 """Piece lattices of short strings, evaluated for many strings at once.
 
 A vocabulary's pieces are found by rolling hashes: for every length at once for
-all strings of a length, so a lattice costs array operations only. Strings of
-over ``LONGEST`` code points are cut into stretches of that length, which no
-piece crosses.
+all strings of a length, so a lattice costs array operations only, for strings
+of any length.
 """
 
 from __future__ import annotations
@@ -14,7 +13,6 @@ from collections.abc import Iterator
 import numpy as np
 
 SPACE = "▁"
-LONGEST = 48
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3))
 _SLOT_BITS = 18
@@ -92,25 +90,14 @@ class Lattice:
         return out
 
 
-def stretches(strings: list[str]) -> tuple[list[str], np.ndarray]:
-    """Stretches of at most LONGEST code points, and the index of each one's string."""
-    if all(len(s) <= LONGEST for s in strings):
-        return strings, np.arange(len(strings))
-    parts, owner = [], []
-    for i, s in enumerate(strings):
-        for at in range(0, len(s), LONGEST):
-            parts.append(s[at : at + LONGEST])
-            owner.append(i)
-    return parts, np.array(owner)
-
-
-def by_length(strings: list[str], most: int = 1 << 14) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(indices, codes) of strings of the same length, at most ``most`` at once."""
+def by_length(strings: list[str], most: int = 1 << 14, codes: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(indices, codes) of strings of the same length, at most ``most`` at once, or one, and about ``codes`` code points."""
     groups = defaultdict(list)
     for i, s in enumerate(strings):
         groups[len(s)].append(i)
     for n, ids in groups.items():
         if n:
-            for at in range(0, len(ids), most):
-                part = ids[at : at + most]
+            many = max(1, min(most, codes // n))
+            for at in range(0, len(ids), many):
+                part = ids[at : at + many]
                 yield np.array(part), codes_of([strings[i] for i in part]).reshape(-1, n)

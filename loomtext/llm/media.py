@@ -28,6 +28,8 @@ from loomtext.llm.rows import map_slices
 FRAME = 64
 GROUP = 16
 TIMESCALE = 25
+#: Boxes of a path that are kept; containers of tracks nest less deep.
+PATH = 16
 #: Boxes that hold boxes, with the bytes before their children.
 CONTAINERS = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"dinf": 0, b"stbl": 0, b"edts": 0, b"udta": 0, b"moof": 0, b"traf": 0, b"mvex": 0}
 _MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
@@ -76,20 +78,26 @@ def store(payload: bytes) -> bytes:
     return ftyp + moov(len(ftyp) + len(head) + len(data) - len(payload), wide) + data
 
 
-def walk(data: memoryview, start: int, end: int, path: tuple = ()) -> Iterator[tuple[tuple, int, int]]:
-    """(path, start, end) of the bodies of all boxes, parents first."""
-    while start + 8 <= end:
+def walk(data: memoryview, start: int, end: int) -> Iterator[tuple[tuple, int, int]]:
+    """(path, start, end) of the bodies of all boxes, parents first, however deep
+    they nest; a path names at most the box and the PATH - 1 boxes around it."""
+    open_ = [(start, end, ())]
+    while open_:
+        start, end, path = open_.pop()
+        if start + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         head = 8
         if size == 1 and start + 16 <= end:
             size, head = struct.unpack_from(">Q", data, start + 8)[0], 16
         stop = end if size == 0 else min(end, start + size)
         if size and size < head:
-            return
-        yield (*path, kind), start + head, stop
+            continue
+        inner = (*path[-PATH + 1 :], kind)
+        yield inner, start + head, stop
+        open_.append((stop, end, path))
         if kind in CONTAINERS:
-            yield from walk(data, start + head + CONTAINERS[kind], stop, (*path, kind))
-        start = stop
+            open_.append((start + head + CONTAINERS[kind], stop, inner))
 
 
 def _table(data: memoryview, at: int, end: int, columns: int, kind: str = ">u4") -> np.ndarray:

@@ -44,7 +44,8 @@ RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?""", r"[A-Za-z0-9+/_.=-]", 6, fold=True),
     Rule("access", r"AKIA", r"[A-Z0-9]", 20, whole=True),
     Rule("hex", r"[0-9a-f]{7}", r"[0-9a-f]", 24, whole=True),
-    Rule("private_key", r"-----BEGIN [A-Z0-9 ]{0,20}PRIVATE KEY----", r"[-]", 1),
+    #: The header, its key's lines and the dashes behind them.
+    Rule("private_key", r"-----BEGIN [A-Z0-9 ]{0,20}PRIVATE KEY----", r"[A-Za-z0-9+/=\x0A\x0D-]", 1),
     Rule("github", r"gh[pousr]_", r"[A-Za-z0-9]", 36),
     Rule("gitlab", r"glpat-", r"[A-Za-z0-9_-]", 20),
     Rule("slack", r"xox[abposr]-", r"[A-Za-z0-9-]", 10),

@@ -66,3 +66,12 @@ def test_texts(spark):
     files = spark.createDataFrame([(1, bytearray(store(bytes(2048)))), (2, bytearray(b"zz")), (3, None)], "id long, data binary")
     a, b, c = media_columns(files, "id", "data").collect()
     assert a.codec == "raw" and a.seconds == 32 / 25 and len(a.keyframes) == 2 and b.codec is c.codec is None
+
+
+def test_deeply_nested_boxes_end_in_no_error():
+    from loomtext.llm.media import box
+
+    file = b""
+    for _ in range(3000):
+        file = box(b"moov", file)
+    assert parse(file) == []
