@@ -43,3 +43,13 @@ def test_null_and_repeated_ids_reach_the_bins(spark):
     bins = corpus_pipeline.packing(spark, docs, "").collect()
     parts = collections.Counter(p for b in bins for p in b.text.split("\n\n"))
     assert parts == collections.Counter(t for _, t in rows) and sum(b.n_chars for b in bins) == sum(len(t) for _, t in rows)
+
+
+def test_near_dedup_keeps_other_texts_of_an_id_and_clashing_columns(spark):
+    words = " ".join(f"word{i}" for i in range(60))
+    rows = [(7, "Text of a repeated id that says one thing."), (7, "Its second text is quite another one."), (7, "Text of a repeated id that says one thing."), (3, words), (9, words.upper()), (None, words)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), "x", "y") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, row string, score_ string")
+    out = corpus_pipeline.simhash_near_dedup(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text, r.row) for r in out.collect()) == sorted((i, t, "x") for i, t in [(7, rows[0][1]), (7, rows[1][1]), (3, words), (0, words)])
+    assert corpus_pipeline.simhash_near_dedup(spark, docs.limit(0), "").count() == 0
