@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomtext.llm.langid import fit, identify
-from loomtext.llm.linededup import dedup_lines
+from loomtext.llm.linededup import dedup_lines, fresh, row_key
 from loomtext.llm.packing import pack, packed_texts
 from loomtext.llm.secrets import redact_secrets
 from loomtext.llm.shared import shared_folder
@@ -30,8 +30,9 @@ def recounted(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = identify(docs, fit(docs), lang_out="lang_pred_", score_out="score_")
-    return judged.where((F.col("lang_pred_") != "und") & (F.col("score_") >= LEAST_SCORE)).select(docs.columns)
+    lang, score = fresh(docs.columns, "lang_pred", "score")
+    judged = identify(docs, fit(docs), lang_out=lang, score_out=score)
+    return judged.where((F.col(lang) != "und") & (F.col(score) >= LEAST_SCORE)).select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,10 +40,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows with one id are one document; rows without an id stay."""
-    parts = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_")).distinct()
-    kept = docs.join(parts, docs["doc_id"] == parts["kept_"]).select(docs.columns)
-    return kept.dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
+    """Rows of one id and one text are one document, of one id and other texts
+    several; of a component the smallest id stays, among its texts that of the
+    smallest hash; rows without an id stay."""
+    (row,) = fresh(docs.columns, "row")
+    keyed = docs.where("doc_id is not null").withColumn(row, row_key("doc_id", "text"))
+    parts = near_duplicates(keyed, row).select(F.col(row).alias("key"), "component_id").distinct()
+    ids = keyed.select(row, "doc_id").distinct()
+    first = ids.join(parts, ids[row] == parts["key"]).groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("first")).select(F.col("first.key").alias("kept"))
+    kept = keyed.join(first.withColumnRenamed("kept", row), row, "left_semi").dropDuplicates([row]).select(docs.columns)
+    return kept.union(docs.where("doc_id is null"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
