@@ -6,10 +6,14 @@ otherwise; an empty string is a value of its own.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 #: White space as text processing on the web understands it; a fixed value.
 SPACE = r"\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+#: The same, as the characters themselves.
+BLANKS = "\t\n\x0B\f\r \u00A0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 #: Code points that show nothing; a fixed value.
 INVISIBLE = r"[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2069}\x{FEFF}\x{E0000}-\x{E007F}]"
 #: Entities in the order in which they are decoded; fixed values.
@@ -20,25 +24,31 @@ OMISSION = "\n\n[… middle truncated to fit length budget …]\n\n"
 LEAST_SPLIT = len(OMISSION) + 400
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a ``value`` that is computed once, however often it occurs there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def trim_end(text: Column) -> Column:
-    return F.regexp_replace(text, rf"[{SPACE}]+\z", "")
+    return F.rtrim(text, F.lit(BLANKS))
 
 
 def trim_start(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^[{SPACE}]+", "")
+    return F.ltrim(text, F.lit(BLANKS))
 
 
 def strip_invisible(text: Column) -> Column:
-    return F.regexp_replace(text, INVISIBLE, "")
+    """A text of as many bytes as code points holds none and is not searched."""
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(F.regexp_replace(text, INVISIBLE, ""))
 
 
 def _squeezed(text: Column) -> Column:
-    plain = F.regexp_replace(F.translate(text, "\u00A0", " "), r"[\t ]+", " ")
-    return trim(F.regexp_replace(plain, rf"[{SPACE}]*\n[{SPACE}]*", "\n"))
+    plain = F.regexp_replace(F.replace(text, F.lit("\u00A0"), F.lit(" ")), r"\t[\t ]*| [\t ]+", " ")
+    return F.array_join(F.filter(F.transform(F.split(plain, "\n"), trim), lambda x: x != ""), "\n")
 
 
 def normalize_for_prompt(text: Column) -> Column:
@@ -103,12 +113,16 @@ def clip_head_and_tail(text: Column, most: int) -> Column:
     room = most - len(OMISSION)
     first = room * 3 // 4
     rest = room - first
-    head, tail = F.substring(text, 1, first), F.substring(text, -rest, rest)
-    end = F.greatest(*(last_index(head, p) for p in (". ", "! ", "? ", "\n")))
-    head = F.when(end > first * 0.5, F.substring(head, F.lit(1), end + 1)).otherwise(head)
-    starts = [F.when(F.instr(tail, p) > 0, F.instr(tail, p) - 1) for p in ("\n", ". ", "! ", "? ")]
-    start = F.least(*starts, F.lit(rest))
-    tail = F.when(start < rest * 0.5, F.substring(tail, start + 2, F.length(tail))).otherwise(tail)
+
+    def to_break(head: Column) -> Column:
+        end = F.greatest(*(last_index(head, p) for p in (". ", "! ", "? ", "\n")))
+        return bound(end, lambda end: F.when(end > first * 0.5, F.substring(head, F.lit(1), end + 1)).otherwise(head))
+
+    def from_break(tail: Column) -> Column:
+        start = F.least(*(F.nullif(F.instr(tail, p), F.lit(0)) - 1 for p in ("\n", ". ", "! ", "? ")), F.lit(rest))
+        return bound(start, lambda start: F.when(start < rest * 0.5, F.substring(tail, start + 2, F.length(tail))).otherwise(tail))
+
+    head, tail = bound(F.left(text, F.lit(first)), to_break), bound(F.right(text, F.lit(rest)), from_break)
     return F.when(F.length(text) <= most, text).otherwise(F.concat(trim_end(head), F.lit(OMISSION), trim_start(tail)))
 
 
@@ -117,13 +131,19 @@ def words_of(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(words_of(text))
+    """The number of ``words_of``, without a search for other than ASCII blanks where there are none."""
+
+    def count(bare: Column) -> Column:
+        ascii_ = F.octet_length(bare) == F.length(bare)
+        return F.when(bare == "", 0).when(ascii_, F.size(F.split(bare, "[\\t-\\r ]+"))).otherwise(F.size(F.split(bare, rf"[{SPACE}]+")))
+
+    return bound(trim(text), count)
 
 
 def content_budget(text: Column, most: int) -> Column:
     """struct(content, truncated, total_characters, word_count)."""
-    content = trim(clip_head_and_tail(text, most))
-    return F.struct(content.alias("content"), (F.length(text) > most).alias("truncated"), F.length(text).alias("total_characters"), word_count(content).alias("word_count"))
+    rest = lambda c: F.struct(c.alias("content"), (F.length(text) > most).alias("truncated"), F.length(text).alias("total_characters"), word_count(c).alias("word_count"))
+    return bound(trim(clip_head_and_tail(text, most)), rest)
 
 
 def transcript_counts(text: Column) -> Column:

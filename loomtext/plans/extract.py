@@ -66,18 +66,20 @@ def extract(pages: DataFrame, budget: int = 8000, url_col: str = "url", html_col
     url, rest = F.col(url_col), [c for c in pages.columns if c != html_col]
     rows = pages.withColumn("strategy", strategy(url))
     read = rows.where("strategy = 'html'").withColumn("facts_", dom.facts(F.col(html_col), url))
-    base = T.normalize_for_prompt(F.array_join("facts_.segments", "\n"))
-    title = T.first_text(F.col("facts_.ld_title"), F.col("facts_.title"))
-    description = T.first_text(F.col("facts_.ld_description"), F.col("facts_.description"))
-    readable = T.normalize_for_prompt(F.col("facts_.readable"))
-    use_readable = F.coalesce(prefers_readable(base, readable) & F.col("facts_.article").isNull(), F.lit(False))
-    podcast = urls.is_podcast_type(F.col("facts_.ld_type")) | urls.is_podcast_host(url)
-    chosen = F.when(use_readable, readable).otherwise(base)
-    described = prefers_description(T.normalize_for_prompt(description), chosen, podcast, use_readable)
+    # each step's columns occur more than once in the next, so Spark computes them once
     read = read.select(
-        *rest, "strategy", title.alias("title"), description.alias("description"), F.col("facts_.site_name").alias("site_name"),
-        F.when(described, T.normalize_for_prompt(description)).otherwise(T.strip_leading_title(chosen, title)).alias("base_"),
-        F.col("facts_.video_url").alias("video_url"), needs_scraper(F.col("facts_.plain"), base, F.col("facts_.html_chars")).alias("needs_scraper"),
+        *rest, "strategy", "facts_.video_url", F.col("facts_.site_name").alias("site_name"), F.col("facts_.article").isNotNull().alias("article_"),
+        T.first_text(F.col("facts_.ld_title"), F.col("facts_.title")).alias("title"), T.first_text(F.col("facts_.ld_description"), F.col("facts_.description")).alias("description"),
+        T.normalize_for_prompt(F.array_join("facts_.segments", "\n")).alias("own_"), T.normalize_for_prompt(F.col("facts_.readable")).alias("readable_"),
+        (urls.is_podcast_type(F.col("facts_.ld_type")) | urls.is_podcast_host(url)).alias("podcast_"), F.col("facts_.plain").alias("plain_"), F.col("facts_.html_chars").alias("chars_"),
+    )
+    own, readable, title = F.col("own_"), F.col("readable_"), F.col("title")
+    read = read.withColumns({"described_": T.normalize_for_prompt(F.col("description")), "use_": F.coalesce(prefers_readable(own, readable) & ~F.col("article_"), F.lit(False))})
+    read = read.withColumn("chosen_", F.when(F.col("use_"), readable).otherwise(own))
+    described = prefers_description(F.col("described_"), F.col("chosen_"), F.col("podcast_"), F.col("use_"))
+    read = read.select(
+        *rest, "strategy", "title", "description", "site_name", F.when(described, F.col("described_")).otherwise(T.strip_leading_title(F.col("chosen_"), title)).alias("base_"),
+        "video_url", needs_scraper(F.col("plain_"), own, F.col("chars_")).alias("needs_scraper"),
     )
     none = F.lit(None).cast("string")
     other = rows.where("strategy <> 'html'").select(*rest, "strategy", none.alias("title"), none.alias("description"), urls.bare_host(url).alias("site_name"), F.lit("").alias("base_"), urls.canonical_video_url(url).alias("video_url"), F.lit(False).alias("needs_scraper"))
