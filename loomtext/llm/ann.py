@@ -12,7 +12,10 @@ reranked by exact double-precision distances on the original vectors.
 
 The codebooks are fitted on about ``SAMPLE`` rows, taken by a hash of the id;
 every row is encoded. Queries go against all rows in blocks of about
-``QUERY_BLOCK``, the only thing broadcast. Equal vectors in a block of rows count
+``QUERY_BLOCK``, the only thing broadcast; what a block finds is stored and its
+broadcast destroyed before the next, so neither driver nor plan grows with the
+queries. A worker holds tables of ``TABLE_BYTES`` at a time, for as many queries
+as they serve. Equal vectors in a block of rows count
 once in the scan and are expanded to their smallest ids behind it, so thousands
 of copies neither crowd out other vectors nor break ties wrongly.
 
@@ -24,6 +27,7 @@ ties go to the smaller id; no usable rows give no rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from loomtext.llm.shared import cut
+from loomtext.llm.shared import cut, shared_folder
 
 NEIGHBOURS = 10
 RERANK = 200
@@ -40,6 +44,7 @@ QUERY_BLOCK = 4096
 THRESHOLD = 0.2
 CODEWORDS = 16
 ROUNDS = 6
+TABLE_BYTES = 64 << 20
 
 
 @dataclass
@@ -129,11 +134,19 @@ class Scan:
 
     def __init__(self, quantizer: Quantizer, ids: np.ndarray, x: np.ndarray, neighbours: int, rerank: int):
         self.ids, self.x, self.neighbours, self.rerank = ids, x, neighbours, rerank
-        parts = quantizer.split(x)
-        tables = np.einsum("qms,mks->qmk", parts, quantizer.books).astype(np.float32)
-        # a byte's entry: its low code's and its high code's
-        self.tables = (tables[:, 0::2, None, :] + tables[:, 1::2, :, None]).reshape(len(x), -1, 256)
-        self.centre = quantizer.centre
+        self.quantizer, self.centre = quantizer, quantizer.centre
+        self.each = max(1, TABLE_BYTES // (len(quantizer.books) // 2 * 256 * 4))
+        self.held: tuple[int, np.ndarray] | None = None
+
+    def tables(self, start: int) -> np.ndarray:
+        """Of the queries from ``start`` on; the last ones made are kept, so a block
+        of queries that fits is tabled once for all rows of a task."""
+        if self.held is None or self.held[0] != start:
+            parts = self.quantizer.split(self.x[start : start + self.each])
+            tables = np.einsum("qms,mks->qmk", parts, self.quantizer.books).astype(np.float32)
+            # a byte's entry: its low code's and its high code's
+            self.held = start, (tables[:, 0::2, None, :] + tables[:, 1::2, :, None]).reshape(len(parts), -1, 256)
+        return self.held[1]
 
     def block(self, ids: np.ndarray, x: np.ndarray, packed: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query id, ids, distances) of each query's nearest in a block."""
@@ -144,7 +157,7 @@ class Scan:
         distinct, columns = x[first], np.ascontiguousarray(packed[first].T)
         bias = (0.5 * ((distinct - self.centre) ** 2).sum(axis=1)).astype(np.float32)
         for q in range(len(self.ids)):
-            table, score = self.tables[q], -bias
+            table, score = self.tables(q - q % self.each)[q % self.each], -bias
             for b, column in enumerate(columns):
                 score += table[b].take(column)
             near = np.arange(len(first)) if len(first) <= self.rerank else np.argpartition(-score, self.rerank - 1)[: self.rerank]
@@ -192,13 +205,15 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 def search(index: DataFrame, quantizer: Quantizer, queries: DataFrame, neighbours: int = NEIGHBOURS, rerank: int = RERANK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score) for the ``queries`` (id, x)."""
+    spark = index.sparkSession
     blocks = max(1, -(-queries.count() // query_block))
-    found = None
+    kind, folder = "query_id long, vec_id long, score double", f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    spark.createDataFrame([], kind).write.parquet(folder)
     for b in range(blocks):
         own = queries.where(F.pmod(F.xxhash64(F.lit("block"), "id"), F.lit(blocks)) == b).orderBy("id").select("id", "x").toArrow().combine_chunks()
         if not own.num_rows:
             continue
-        sent = index.sparkSession.sparkContext.broadcast((own.column(0).to_numpy(), np.array(own.column(1).to_pylist(), float)))
+        sent = spark.sparkContext.broadcast((own.column(0).to_numpy(), np.array(own.column(1).to_pylist(), float)))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             scan = None
@@ -209,10 +224,9 @@ def search(index: DataFrame, quantizer: Quantizer, queries: DataFrame, neighbour
                     parts = list(scan.block(batch.column(0).to_numpy(), matrix(batch.column(1)), codes))
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat([q for q, _, _ in parts], [len(i) for _, i, _ in parts]).astype(np.int64)), pa.array(np.concatenate([i for _, i, _ in parts])), pa.array(np.concatenate([d for _, _, d in parts]))], names=["query_id", "vec_id", "score"])
 
-        part = index.mapInArrow(run, "query_id long, vec_id long, score double")
-        found = part if found is None else found.union(part)
-    if found is None:
-        found = index.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
+        index.mapInArrow(run, kind).write.mode("append").parquet(folder)
+        sent.destroy()
+    found = spark.read.schema(kind).parquet(folder)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score")
 

@@ -2,7 +2,8 @@ import numpy as np
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from loomtext.llm.ann import Quantizer, nearest_neighbours
+from loomtext.llm import ann
+from loomtext.llm.ann import Quantizer, Scan, nearest_neighbours, pack_codes
 
 
 def brute(ids, x, query):
@@ -31,6 +32,21 @@ def test_recall_against_brute_force(spark):
         assert hits >= 0.95 * 10 * len(got)
 
 
+def test_recall_in_one_block_of_many_rows(monkeypatch):
+    """The rerank is 0.2 % of a block here, and tables hold few queries at a time."""
+    rnd = np.random.default_rng(11)
+    centres = rnd.normal(size=(400, 32)) * 2
+    x = centres[rnd.integers(0, 400, 100_000)] + rnd.normal(size=(100_000, 32))
+    ids, own = np.arange(100_000), np.arange(0, 100_000, 2_500)
+    quantizer = Quantizer.fit(x[:5000], rounds=3)
+    packed = pack_codes(quantizer.codes(x))
+    monkeypatch.setattr(ann, "TABLE_BYTES", 3 * len(quantizer.books) // 2 * 1024)
+    scan = Scan(quantizer, own, x[own], 10, ann.RERANK)
+    assert scan.each == 3
+    hits = sum(len(set(found.tolist()) & {v for v, _ in brute(ids, x, q)}) for q, found, _ in scan.block(ids, x, packed))
+    assert hits >= 0.9 * 10 * len(own)
+
+
 def test_refit_lowers_the_anisotropic_loss():
     rnd = np.random.default_rng(3)
     x = rnd.normal(size=(3000, 64)) @ rnd.normal(size=(64, 64)) + 3
