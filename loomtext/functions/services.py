@@ -196,3 +196,39 @@ def bands_problem(low: Column, high: Column) -> Column:
 def finish_line(elapsed: Column, model: Column, words: Column, cost: Column) -> Column:
     """Parts that are known, joined by middle dots."""
     return F.concat_ws(" · ", elapsed, F.when(words > 0, F.concat(F.format_number(words, 0), F.lit(" words"))), model, cost)
+
+
+def transcript_payload(raw: Column) -> Column:
+    """Transcript of a JSON payload in one of three shapes: a string, records with
+    a text each (others are skipped), one record with a text; null if nothing is left."""
+    v = P.parsed(raw)
+    said = F.filter(F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.trim(P.field(x, "$.text"))), lambda t: t != "")
+    return F.coalesce(T.normalize_transcript_lines(said), F.nullif(T.normalize_transcript_text(F.coalesce(P.field(v, "$"), P.field(v, "$.text"))), F.lit("")))
+
+
+def looks_blocked(page: Column) -> Column:
+    """Whether the head of a page says that it is a wall; embedded page data tell of a real page."""
+    head = F.lower(F.left(page, F.lit(20_000)))
+    walled = head.rlike("access denied|attention required|captcha|cloudflare|enable javascript|forbidden|please turn javascript on|verify you are human")
+    return F.coalesce(walled & ~F.contains(head, F.lit("__next_data__")), F.lit(False))
+
+
+def with_local_models(candidates: Column, enabled: Column, models: Column, last: Column, allowed: Column) -> Column:
+    """Candidates behind the local tools' models, the tool that last succeeded
+    first, where a run allows local tools; ``models`` maps tools to model names."""
+    order = moved_to_front(enabled, last)
+    name = lambda p: F.nullif(F.trim(F.try_element_at(models, p)), F.lit(""))
+    ids = F.array_distinct(F.transform(order, lambda p: F.concat_ws("/", F.lit("cli"), p, name(p))))
+    return F.when(F.coalesce(allowed, F.lit(False)) & (F.size(enabled) > 0), F.concat(ids, candidates)).otherwise(candidates)
+
+
+def temperature_for(provider: Column, model: Column, temperature: Column) -> Column:
+    """The temperature to send: none to models that take no other than their own."""
+    fixed = (provider == "openai") & model.rlike(r"(?i)\Agpt-5([-.].+)?\z")
+    return F.when(~F.coalesce(fixed, F.lit(False)), temperature)
+
+
+def model_after_empty(model: Column) -> Column:
+    """What to ask when a trial model answers nothing; null if it is none. The model's name is a fixed value."""
+    plain, stable = F.lower(F.trim(model)), "google/gemini-2.5-flash"
+    return F.when(F.startswith(plain, F.lit("google/")) & plain.rlike("/.*(preview|exp)") & (plain != stable), F.lit(stable))

@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomtext.functions import clock, dom, payloads, text as T, urls
-from loomtext.operators import cache as C, metrics as M, routing as R, streams as S, timeline as L
+from loomtext.functions import clock, dom, payloads, services as V, text as T, urls
+from loomtext.operators import cache as C, media as D, metrics as M, routing as R, streams as S, timeline as L
 from loomtext.plans import extract as X
 from loomtext.plans.goldens import GOLDENS
 
@@ -303,6 +303,81 @@ def cache_sweep(t):
     return C.written(_cache(t), none, NOW).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+# the media cache and lookups
+
+_S_MEDIA = f"""WITH p AS (SELECT *, CASE WHEN p_partkey % 7 = 0 THEN 'ftp' ELSE 'https' END || '://media.example/' || p_partkey AS url FROM part),
+i AS (SELECT url, p_size * 1000 AS size, md5(p_name) AS sum, {NOW} - p_partkey * 1000 AS used, CASE WHEN p_partkey % 3 = 0 THEN {NOW} + (p_size - 25) * 1000 END AS ends FROM p WHERE p_partkey % 4 > 0),
+f AS (SELECT url, p_size * 1000 + CASE WHEN p_partkey % 11 = 0 THEN 1 ELSE 0 END AS size, md5(CASE WHEN p_partkey % 13 = 0 THEN p_type ELSE p_name END) AS sum FROM p WHERE p_partkey % 5 > 0) """
+
+
+def _media(t) -> tuple[DataFrame, DataFrame, DataFrame]:
+    k, name = F.col("p_partkey"), F.md5("p_name")
+    url = F.concat(F.when(k % 7 == 0, "ftp").otherwise("https"), F.lit("://media.example/"), k)
+    parts = t("part").withColumns({"url": url, "used": NOW - k * 1000, "size": (F.col("p_size") * 1000).cast("long")})
+    index = parts.where(k % 4 > 0).select("url", F.col("size").alias("size_bytes"), name.alias("sha256"), F.col("used").alias("created_at"), F.col("used").alias("last_accessed_at"), F.when(k % 3 == 0, NOW + (F.col("p_size") - 25).cast("long") * 1000).alias("expires_at"))
+    files = parts.where(k % 5 > 0).select("url", (F.col("size") + F.when(k % 11 == 0, 1).otherwise(0)).alias("size_bytes"), F.when(k % 13 == 0, F.md5("p_type")).otherwise(name).alias("sha256"))
+    return parts.select("url"), index, files
+
+
+def _s_media_get(differs: str) -> str:
+    return _S_MEDIA + f"SELECT p.url, CASE WHEN p.url LIKE 'ftp%' THEN 'unfit' WHEN i.url IS NULL THEN 'miss' WHEN ends <= {NOW} THEN 'expired' WHEN f.url IS NULL THEN 'gone' WHEN {differs} THEN 'changed' ELSE 'hit' END AS status FROM p LEFT JOIN i ON i.url = p.url LEFT JOIN f ON f.url = p.url"
+
+
+@query(_s_media_get("i.size <> f.size"))
+def media_cache_get(t):
+    wanted, index, files = _media(t)
+    return D.read(index, files, wanted, NOW).select("url", "status")
+
+
+@query(_s_media_get("i.sum <> f.sum"))
+def media_cache_verify(t):
+    wanted, index, files = _media(t)
+    return D.read(index, files, wanted, NOW, "hash").select("url", "status")
+
+
+@query(_S_MEDIA + f"SELECT url, used FROM (SELECT *, sum(size) OVER (ORDER BY used DESC, url ROWS UNBOUNDED PRECEDING) AS held FROM (SELECT url, size, used FROM i WHERE (ends IS NULL OR ends > {NOW}) AND url NOT IN (SELECT url FROM f WHERE url NOT LIKE 'ftp%' AND size <= 400000) UNION ALL SELECT url, size, {NOW} FROM f WHERE url NOT LIKE 'ftp%' AND size <= 400000)) WHERE held <= 400000")
+def media_cache_put(t):
+    _, index, files = _media(t)
+    return D.written(index, files, NOW, 400_000).select("url", F.col("last_accessed_at").alias("used"))
+
+
+@query("WITH w AS (SELECT user_id, CASE WHEN user_id % 2 = 0 THEN min(event_id) END AS episode FROM events GROUP BY 1) SELECT user_id AS show_id, track_id FROM (SELECT w.user_id, e.event_id AS track_id, row_number() OVER (PARTITION BY w.user_id ORDER BY coalesce(e.event_id = w.episode, false) DESC, CASE WHEN e.event_id % 3 > 0 THEN e.ts END DESC NULLS LAST, e.event_id) AS n FROM w JOIN events e ON e.user_id = w.user_id) WHERE n = 1")
+def episode_lookup(t):
+    wanted = t("events").groupBy(F.col("user_id").alias("show_id")).agg(F.min("event_id").alias("e")).select("show_id", F.when(F.col("show_id") % 2 == 0, F.col("e")).alias("episode_id"))
+    episodes = t("events").select(F.col("user_id").alias("show_id"), F.col("event_id").alias("track_id"), F.when(F.col("event_id") % 3 > 0, F.col("ts")).alias("released"), F.col("event_id").alias("pos"), F.concat(F.lit("https://media.example/"), "event_id").alias("url"))
+    return D.looked_up_episodes(wanted, episodes).select("show_id", "track_id")
+
+
+@query("WITH w AS (SELECT p_size AS id, min(p_brand) AS series, max(p_type) AS episode FROM part GROUP BY 1) SELECT id, p_type AS title, url FROM (SELECT w.id, p_type, 'u' || p_partkey AS url, row_number() OVER (PARTITION BY w.id ORDER BY p_type = episode AND p_brand = series DESC, p_type = episode DESC, p_partkey) AS n FROM w JOIN part ON p_size = w.id WHERE p_partkey % 4 > 0) WHERE n = 1")
+def episode_search(t):
+    wanted = t("part").groupBy(F.col("p_size").alias("id")).agg(F.concat(F.lit(" "), F.upper(F.min("p_brand")), F.lit("!")).alias("show"), F.lower(F.max("p_type")).alias("episode"))
+    results = t("part").select(F.col("p_size").alias("id"), F.col("p_partkey").alias("pos"), F.col("p_type").alias("title"), F.col("p_brand").alias("collection"), F.when(F.col("p_partkey") % 4 > 0, F.concat(F.lit("u"), "p_partkey")).alias("url"))
+    return D.searched_episodes(wanted, results)
+
+
+@query("SELECT conv_id, turn, nullif(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), '') AS said FROM conversations WHERE turn % 4 < 3 UNION ALL SELECT conv_id, turn, NULL FROM conversations WHERE turn % 4 = 3")
+def transcript_payloads(t):
+    said, shape = F.regexp_replace("text", r"[ \t\n\x0B\f\r]+", " "), F.col("turn") % 4
+    record, other = F.struct(said.alias("text")), F.struct(F.lit(1).alias("text"))
+    raw = F.when(shape == 0, F.to_json(record)).when(shape == 1, F.get_json_object(F.to_json(F.struct(F.array(record, F.struct(F.lit("  ").alias("text"))).alias("x"))), "$.x")).when(shape == 2, F.regexp_extract(F.to_json(record), r'(?s)\A\{"text":(.*)\}\z', 1)).otherwise(F.to_json(other))
+    return t("conversations").select("conv_id", "turn", V.transcript_payload(raw).alias("said"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'A' THEN 'a/x' WHEN l_linestatus = 'O' THEN 'cli/two|cli/one/m|a/x' ELSE 'cli/one/m|cli/two|a/x' END AS chain, CASE WHEN l_quantity <= 25 THEN 0.5 END::DOUBLE AS temperature, CASE WHEN l_returnflag = 'R' THEN 'google/gemini-2.5-flash' END AS next FROM lineitem")
+def local_models_first(t):
+    chain = V.with_local_models(F.array(F.lit("a/x")), F.array(F.lit("one"), F.lit("two")), F.create_map(F.lit("one"), F.lit(" m ")), F.when(F.col("l_linestatus") == "O", "two"), F.col("l_returnflag") != "A")
+    model = F.when(F.col("l_quantity") <= 25, "gpt-50").otherwise("GPT-5-mini")
+    trial = F.when(F.col("l_returnflag") == "R", " Google/Gemini-3-Preview").when(F.col("l_returnflag") == "N", "google/gemini-2.5-flash")
+    return t("lineitem").select("l_orderkey", "l_linenumber", F.array_join(chain, "|").alias("chain"), V.temperature_for(F.lit("openai"), model, F.lit(0.5)).alias("temperature"), V.model_after_empty(trial).alias("next"))
+
+
+@query("SELECT page_id, regexp_matches(lower(substr(html, 1, 20000)), 'access denied|attention required|captcha|cloudflare|enable javascript|forbidden|please turn javascript on|verify you are human') AS blocked, ['/s/' || page_id || '/a.png', '/s/' || page_id || '/slides.json'] AS slides FROM pages")
+def blocked_pages(t):
+    folder = F.concat(F.lit("/s/"), "page_id")
+    record = F.to_json(F.struct(F.concat(folder, F.lit("/")).alias("slidesDir"), F.array(F.struct(F.concat(folder, F.lit("/a.png")).alias("imagePath")), F.struct(F.lit("/s/b.png").alias("imagePath")), F.struct(F.concat(folder, F.lit("/../b.png")).alias("imagePath"))).alias("slides")))
+    return t("pages").select("page_id", V.looks_blocked(F.col("html")).alias("blocked"), D.slide_files(record).alias("slides"))
+
+
 # timelines
 
 @query("WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) // 1000 / 1000.0 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events), k AS (SELECT user_id, t, n, t AS prior, true AS kept FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.t, e.n, CASE WHEN e.t - k.prior >= 40000 THEN e.t ELSE k.prior END, e.t - k.prior >= 40000 FROM k JOIN e ON e.user_id = k.user_id AND e.n = k.n + 1) SELECT user_id, count(*) AS kept, max(t) AS last FROM k WHERE kept GROUP BY user_id")
