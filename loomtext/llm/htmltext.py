@@ -35,14 +35,16 @@ _TOKEN = re.compile(
 )
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*(?:display\s*:\s*none|visibility\s*:\s*hidden))""", re.I)
-_RAW = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for t in ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "select", "object", "noembed", "noframes", "xmp")}
+_RAW = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for t in ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "select", "object", "noembed", "noframes", "xmp")}
 #: Fixed lists of HTML element names.
 _BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul video audio canvas".split())
 _HELD = frozenset("article aside blockquote body button details dialog dir div dl fieldset figure footer form header main menu nav ol search section table td th ul head".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _FURNITURE = frozenset("nav footer aside form dialog button menu search fieldset head".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-_NAMED_FURNITURE = re.compile(r"(?:^|[^a-z])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo(?:tion)?|banner|side-?bar|widget|menu|nav(?:igation|bar)?|breadcrumbs?|footer|masthead|site-?header|page-?header|top-?bar|comments?|replies|reply|respond|disqus|discussion|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|sign-?up|login|search|share|sharing|social|related|recommended|recommendations|teaser|trending|popular|pagination|pager|toolbar|legal|copyright|contentinfo|complementary|skip(?:-?link)?)(?:$|[^a-z])")
+_NAMED_FURNITURE = re.compile(r"(?:^|[^a-z])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo(?:tion)?|banner|side-?bar|widget|menu|nav(?:igation|bar)?|breadcrumbs?|footer|masthead|site-?header|page-?header|top-?bar|comments?|replies|reply|respond|disqus|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|sign-?up|login|share|sharing|social|related|recommended|recommendations|teaser|trending|pagination|pager|toolbar|copyright|contentinfo|complementary|skip(?:-?link)?)(?:$|[^a-z])")
+#: Names of furniture that inside an article may as well be its subject.
+_NAMED_EITHER = re.compile(r"(?:^|[^a-z])(?:discussion|legal|popular|search)(?:$|[^a-z])")
 _NAMED_CONTENT = re.compile(r"(?:^|[^a-z])(?:article(?:-?body|-?text|-?content)?|content(?:-?body)?|post(?:-?body|-?content)?|entry(?:-?content)?|story(?:-?body)?|main(?:-?content)?|body-?text|page-?content|text)(?:$|[^a-z])")
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_behind", "links_behind", "article", "content", "furniture", "heading", "item", "cell")
@@ -68,7 +70,7 @@ def blocks_of(page: str) -> list[Block]:
     parts: list[str] = []
     linked: list[str] = []
     in_link, last = 0, ""
-    names: dict[str, tuple[bool, bool]] = {}
+    names: dict[str, tuple[bool, bool, bool, bool]] = {}
 
     def flush():
         nonlocal parts, linked
@@ -126,12 +128,12 @@ def blocks_of(page: str) -> list[Block]:
             known = names.get(rest)
             if known is None:
                 named = " ".join(x.strip("\"'") for x in _NAMES.findall(rest)).lower() if "=" in rest else ""
-                known = names[rest] = (bool(named and _NAMED_CONTENT.search(named)), bool(named and _NAMED_FURNITURE.search(named)), bool(rest and _HIDDEN.search(rest)))
+                known = names[rest] = (bool(named and _NAMED_CONTENT.search(named)), bool(named and _NAMED_FURNITURE.search(named)), bool(rest and _HIDDEN.search(rest)), bool(named and _NAMED_EITHER.search(named)))
             if name in ("article", "main"):
                 article += 1
             if known[0]:
                 content += 1
-            if name in _FURNITURE or known[1] and name != "body" or name == "header" and not article:
+            if name in _FURNITURE or known[1] and name != "body" or (name == "header" or known[3] and name != "body") and not article:
                 furniture += 1
             hidden += known[2]
     flush()

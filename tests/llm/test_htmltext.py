@@ -44,6 +44,12 @@ def test_furniture_goes():
     assert kept(page) == "Title here\nShort.\nEnd of it."
 
 
+def test_an_article_keeps_what_is_its_subject():
+    page = "<article><h1>On it</h1><section id=discussion><p>We discuss it.</p></section><div class='legal'><p>The law.</p></div><div class='popular-science'><p>Plain words.</p></div><p>Sum <math><mi>x</mi><mo>+</mo><mn>1</mn></math> ends</p></article>"
+    assert kept(page) == "On it\nWe discuss it.\nThe law.\nPlain words.\nSum x+1 ends"
+    assert kept("<div class=legal><p>All rights</p></div><article><p>Text of it.</p></article><div class='popular'><p>Read this too</p></div>") == "Text of it."
+
+
 def test_odd_rows(spark):
     long = "<article>" + "<p>word word</p>" * 60_000 + "</article>"
     rows = [(1, None, None, "t"), (2, "u", "", "t"), (3, "u", "<article><p>x</p>", "t"), (3, "u", "<article><p>x</p>", "t"), (None, "u", long, "t"), (5, "u", "<" * 5000 + "\"'" * 500, "t")]
