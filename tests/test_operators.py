@@ -149,3 +149,16 @@ def test_files(spark, tmp_path):
     assert [r.problem for r in spooled.collect()] == [None, "not text", "blank"]
     echo = files.answered(spark.createDataFrame([("x",)], "q string"), lambda b: b.assign(a=b.q + "!"), "q string, a string")
     assert echo.first().a == "x!"
+
+
+def test_media_index_after_reads(spark):
+    from loomtext.operators import media as D
+
+    rows = [("https://a/1", 10, "s", 1, 1, None), ("https://a/2", None, None, 1, 1, 99), ("https://a/3", 10, "s", 1, 1, 5), ("https://a/4", 10, "s", 1, 1, None), ("https://a/5", 10, "s", 1, 1, None)]
+    index = spark.createDataFrame(rows, "url string, size_bytes long, sha256 string, created_at long, last_accessed_at long, expires_at long")
+    files = spark.createDataFrame([("https://a/1", 11, "s"), ("https://a/2", 7, "t"), ("https://a/3", 10, "s"), ("https://a/9", 1, "s")], "url string, size_bytes long, sha256 string")
+    found = D.read(index, files, spark.createDataFrame([("https://a/1",), ("https://a/2",), ("https://a/2",), ("https://a/3",), ("https://a/4",), ("file:x",), (None,)], "url string"), 50)
+    assert sorted((r.url or "", r.status) for r in found.collect()) == [("", "unfit"), ("file:x", "unfit"), ("https://a/1", "changed"), ("https://a/2", "hit"), ("https://a/2", "hit"), ("https://a/3", "expired"), ("https://a/4", "gone")]
+    after = {r.url: (r.size_bytes, r.last_accessed_at) for r in D.after_read(index, found, 50).collect()}
+    assert after == {"https://a/2": (7, 50), "https://a/5": (10, 1)}
+    assert {r.url for r in D.stale_files(files, index).collect()} == {"https://a/9"} and D.written(index.limit(0), files.limit(0), 50, 10).count() == 0
