@@ -31,30 +31,34 @@ def touched(cache: DataFrame, wanted: DataFrame, now: int) -> DataFrame:
     return rows.withColumn("last_accessed_at", F.when(F.col("read_"), now).otherwise(F.col("last_accessed_at"))).select(cache.columns)
 
 
-def within_size(cache: DataFrame, most: int, buckets: int = 64) -> DataFrame:
+def within_size(cache: DataFrame, most: int, buckets: int = 64, sortable: int = 100_000) -> DataFrame:
     """The most recently used entries whose sizes together are within ``most``; 0
-    or less sets no limit.
+    or less sets no limit. Entries never accessed go first.
 
-    Sizes are first summed by buckets of access time, so no task sorts all
-    entries: whole buckets are kept or dropped and only the one in which the
-    limit falls is ordered row by row."""
+    Sizes are first summed by buckets of access time: whole buckets are kept or
+    dropped, and the one in which the limit falls is split again until it has no
+    more than ``sortable`` entries or is one instant. Only that one is sorted."""
     if most <= 0:
         return cache
-    span = cache.agg(F.min("last_accessed_at").alias("low"), F.max("last_accessed_at").alias("high")).first()
-    if span["low"] is None:
+    at, rows = F.col("last_accessed_at"), cache.select("last_accessed_at", "size_bytes")
+    low, high = rows.agg(F.min("last_accessed_at"), F.max("last_accessed_at")).first()
+    if low is None:
         return cache
-    width = max(1, -(-(span["high"] - span["low"] + 1) // buckets))
-    rows = cache.withColumn("bucket_", F.floor((F.col("last_accessed_at") - span["low"]) / width).cast("int"))
-    sums = {r["bucket_"]: r["n"] for r in rows.groupBy("bucket_").agg(F.sum("size_bytes").alias("n")).collect()}
-    held, edge = 0, -1
-    for b in sorted(sums, reverse=True):
-        if held + sums[b] > most:
-            edge = b
-            break
-        held += sums[b]
-    newest = Window.partitionBy("bucket_").orderBy(F.desc("last_accessed_at"), *KEY).rowsBetween(Window.unboundedPreceding, 0)
-    part = rows.where(F.col("bucket_") == edge).withColumn("held_", F.sum("size_bytes").over(newest)).where(F.col("held_") + held <= most)
-    return rows.where(F.col("bucket_") > edge).drop("bucket_").union(part.drop("bucket_", "held_"))
+    held, entries, width = 0, sortable + 1, 2
+    while entries > sortable and width > 1:
+        width = max(1, -(-(high - low + 1) // buckets))
+        sums = rows.where(at.between(low, high)).groupBy(F.floor((at - low) / width).alias("b")).agg(F.sum("size_bytes").alias("n"), F.count("*").alias("m"))
+        for r in sorted(sums.collect(), key=lambda r: -r["b"]):
+            if held + (r["n"] or 0) > most:
+                low, entries = low + r["b"] * width, r["m"]
+                high = min(high, low + width - 1)
+                break
+            held += r["n"] or 0
+        else:
+            return cache.where(at >= low)
+    newest = Window.partitionBy(F.lit(0)).orderBy(F.desc("last_accessed_at"), *KEY).rowsBetween(Window.unboundedPreceding, 0)
+    part = cache.where(at.between(low, high)).withColumn("held_", F.coalesce(F.sum("size_bytes").over(newest), F.lit(0))).where(F.col("held_") + held <= most)
+    return cache.where(at > high).union(part.drop("held_"))
 
 
 def written(cache: DataFrame, entries: DataFrame, now: int, most: int = 0) -> DataFrame:

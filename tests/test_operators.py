@@ -162,3 +162,19 @@ def test_media_index_after_reads(spark):
     after = {r.url: (r.size_bytes, r.last_accessed_at) for r in D.after_read(index, found, 50).collect()}
     assert after == {"https://a/2": (7, 50), "https://a/5": (10, 1)}
     assert {r.url for r in D.stale_files(files, index).collect()} == {"https://a/9"} and D.written(index.limit(0), files.limit(0), 50, 10).count() == 0
+
+
+def test_size_limit_in_crowded_access_times(spark):
+    from loomtext.operators import cache as C
+
+    times = [0, 10**12] + [5 * 10**11 + k // 3 for k in range(600)] + [None]
+    rows = [("k", f"{i:04}", 1 + i % 5, t) for i, t in enumerate(times)]
+    cache = spark.createDataFrame(rows, "kind string, key string, size_bytes long, last_accessed_at long")
+    for most in (1, 40, 901, 5000):
+        held, want = 0, set()
+        for _, key, size, t in sorted((r for r in rows if r[3] is not None), key=lambda r: (-r[3], r[1])):
+            held += size
+            if held > most:
+                break
+            want.add(key)
+        assert {r.key for r in C.within_size(cache, most, 4, 5).collect()} == want
