@@ -6,11 +6,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomtext.llm.ann import nearest_neighbours
+from loomtext.llm.conversations import repair
 from loomtext.llm.htmltext import extract_text
 from loomtext.llm.langid import language_id
+from loomtext.llm.licenses import scan_licenses
 from loomtext.llm.linededup import dedup_lines
 from loomtext.llm.media import stored_texts
 from loomtext.llm.packing import pack
+from loomtext.llm.resampling import oracle_sql as resampling_sql, resample
 from loomtext.llm.secrets import find_secrets
 from loomtext.llm.simhash import near_duplicates
 from loomtext.llm.sptok import nbest_digests
@@ -62,6 +65,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(table(spark, sf_dir, "conversations"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_html_extraction": op2_html_extraction,
@@ -73,7 +88,10 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_sentencepiece_nbest": op9_sentencepiece_nbest,
     "op10_language_id": op10_language_id,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_license_scan": op12_license_scan,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 #: DuckDB SQL by query; the others are tested against brute-force versions.
-ORACLES: dict[str, str] = {"op8_url_filter": url_sql()}
+ORACLES: dict[str, str] = {"op8_url_filter": url_sql(), "op13_importance_resampling": resampling_sql()}
