@@ -5,23 +5,88 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from loomtext.functions import payloads, scan
+from loomtext.functions import payloads, scan, segments
+from loomtext.operators.folds import folded
+
+
+class Merge:
+    """One session's text so far, the only thing that is kept of it."""
+
+    def __init__(self):
+        self.text = ""
+
+    def step(self, at, chunk: str | None) -> list[tuple]:
+        self.text, new = scan.merge_chunk(self.text, chunk or "")
+        return [(at, new, len(self.text))]
+
+    def finish(self) -> list[tuple]:
+        return []
 
 
 def merged_chunks(chunks: DataFrame, key: str, order: str, chunk: str) -> DataFrame:
-    """(key, order, text, appended): the text after each chunk. A key is one
-    session's output, which bounds a group."""
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        text, texts, added = "", [], []
-        pdf = pdf.sort_values(order, kind="stable")
-        for piece in pdf[chunk]:
-            text, new = scan.merge_chunk(text, piece or "")
-            texts.append(text)
-            added.append(new)
-        return pd.DataFrame({key: pdf[key], order: pdf[order], "text": texts, "appended": added})
-
-    kinds = {f.name: f.dataType.simpleString() for f in chunks.schema}
-    return chunks.groupBy(key).applyInPandas(fold, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, text string, appended string")
+    """(key, order, appended, total): what each chunk adds to its session's text and
+    the characters that text has then. Chunks that share their place go by themselves."""
+    kind = chunks.schema[order].dataType.simpleString()
+    return folded(chunks, key, [order, chunk], [order, chunk], Merge, f"`{order}` {kind}, appended string, total long")
+
+
+class Slides:
+    """A session's segmenter; events are numbered from 0."""
+
+    def __init__(self):
+        self.own, self.count, self.most = segments.Segmenter(), 0, 0
+
+    def numbered(self, events: list[segments.Event]) -> list[tuple]:
+        out = [(self.count + i, *e) for i, e in enumerate(events)]
+        self.count += len(out)
+        return out
+
+    def step(self, chunk: str | None, expected: int | None) -> list[tuple]:
+        self.most = max(self.most, expected or 0)
+        return self.numbered(self.own.feed(chunk))
+
+    def finish(self) -> list[tuple]:
+        return self.numbered(self.own.finish(range(1, self.most + 1)))
+
+
+def slide_events(chunks: DataFrame, key: str, order: list[str], chunk: str, expected: str) -> DataFrame:
+    """(key, event, kind, slide, value): texts (kind ``text``) and slides with their
+    titles (kind ``slide``) of each session's chunks, then the slides up to
+    ``expected`` that no marker named. See ``functions.segments``."""
+    return folded(chunks, key, order, [chunk, expected], Slides, "event long, kind string, slide int, value string")
+
+
+def slide_parts(events: DataFrame, key: str) -> DataFrame:
+    """(key, part, slide, title, text) of ``slide_events``: what stands before the
+    first slide is part 0, each slide with what follows it another."""
+    own = Window.partitionBy(key).orderBy("event")
+    parts = events.withColumn("part", F.sum((F.col("kind") == "slide").cast("int")).over(own))
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "text", F.struct("event", "value")))), lambda x: x["value"]), "")
+    return parts.groupBy(key, "part").agg(F.max("slide").alias("slide"), F.max(F.when(F.col("kind") == "slide", F.col("value"))).alias("title"), said.alias("text"))
+
+
+def stream_ends(chunks: DataFrame, timeout_ms: int, ttl_ms: int) -> DataFrame:
+    """(stream_id, status, ended, expires, started, chunks, late, gone) of ``chunks``
+    (stream_id, at, done). A stream starts with its first chunk, ends with its first
+    done one or, if none comes by then, ``timeout_ms`` behind its start, and expires
+    ``ttl_ms`` behind its end, whatever comes later; chunks behind the end are late,
+    those behind the expiry gone. Of chunks of one time those that are done come
+    last. Aggregations that combine before their shuffle, and joins on their results."""
+    rows = chunks.select("stream_id", "at", F.coalesce("done", F.lit(False)).alias("done"))
+
+    def with_key(known: DataFrame) -> DataFrame:
+        return rows.join(known.withColumnRenamed("stream_id", "s_"), F.col("stream_id").eqNullSafe(F.col("s_"))).drop("s_")
+
+    due = F.col("started") + timeout_ms
+    started = rows.groupBy("stream_id").agg(F.min("at").alias("started"))
+    done_at = with_key(started).groupBy("stream_id", "started").agg(F.min(F.when(F.col("done") & (F.col("at") <= due), F.col("at"))).alias("done_at"))
+    ends = done_at.select("stream_id", "started", F.coalesce("done_at", due).alias("ended"), F.when(F.col("done_at").isNotNull(), "done").otherwise("timed out").alias("status"))
+    # of the chunks at the end itself, one that is done has ended the stream and the plain ones were in time
+    at_end = (F.col("at") == F.col("ended")) & ~(F.col("done") & (F.col("status") == "done"))
+    gone = F.count_if(F.col("at") > F.col("ended") + ttl_ms)
+    out = with_key(ends).groupBy("stream_id", "started", "ended", "status").agg(F.count_if((F.col("at") < F.col("ended")) | at_end).alias("n_"), F.count("*").alias("all_"), gone.alias("gone"))
+    chunks_in = F.col("n_") + F.when(F.col("status") == "done", 1).otherwise(0)
+    return out.select("stream_id", "status", "ended", (F.col("ended") + ttl_ms).alias("expires"), "started", chunks_in.alias("chunks"), (F.col("all_") - chunks_in - F.col("gone")).alias("late"), "gone")
 
 
 def gated(states: DataFrame, key: str, order: str, text: str, lines: bool) -> DataFrame:

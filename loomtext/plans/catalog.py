@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from loomtext.functions import clock, dom, payloads, services as V, text as T, urls
 from loomtext.operators import cache as C, media as D, metrics as M, routing as R, streams as S, timeline as L
@@ -204,7 +204,41 @@ def timed_text(t):
 
 @query()
 def stream_merge(t):
-    return S.merged_chunks(t("conversations").select("conv_id", "turn", "text"), "conv_id", "turn", "text").select("conv_id", "turn", F.length("appended").alias("appended"), F.length("text").alias("total"))
+    return S.merged_chunks(t("conversations").select("conv_id", "turn", "text"), "conv_id", "turn", "text").select("conv_id", "turn", F.length("appended").alias("appended"), "total")
+
+
+def slide_chunks(talks: DataFrame, size: int) -> DataFrame:
+    """Conversations as streams of ``size`` characters: each turn under one of four
+    kinds of slide marker, with a title line; two slides more are expected than marked."""
+    n = (F.col("turn") + 1).cast("string")
+    marks = [F.concat(F.lit("[slide:"), n, F.lit("]\n")), F.concat(F.lit("Slide "), n, F.lit(" of 9 - \u00b7 more\n")), F.concat(F.lit("slide: "), n, F.lit("]\n")), F.concat(F.lit("[as on slide "), n, F.lit("] "))]
+    mark = F.element_at(F.array(*marks), (F.col("turn") % 4 + 1).cast("int"))
+    title = F.element_at(F.array(F.concat("role", F.lit("  "), n), F.concat(F.lit("## "), "role"), F.concat(F.lit("Title: "), "role", F.lit(".")), F.concat(F.lit("headline:\n\n"), "role", n)), (F.col("conv_id") % 4 + 1).cast("int"))
+    full = F.concat(F.when(F.col("turn") == 0, "[slides]Before it\n").otherwise(""), mark, title, F.lit("\n"), "text", F.lit("\n"))
+    rows = talks.select("conv_id", "turn", full.alias("full"), (F.max("turn").over(Window.partitionBy("conv_id")) + 3).cast("int").alias("expected"))
+    at = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.length("full") / size) - 1, F.lit(0)).cast("int")))
+    return rows.withColumn("i", at).select("conv_id", "turn", "i", F.col("full").substr(F.col("i") * size + 1, F.lit(size)).alias("chunk"), "expected")
+
+
+@query("""WITH c AS (SELECT *, CASE conv_id % 4 WHEN 0 THEN role || ' ' || (turn + 1) WHEN 1 THEN role WHEN 2 THEN role || '.' ELSE role || (turn + 1) END AS title FROM conversations)
+SELECT conv_id, 0 AS part, NULL::INT AS slide, NULL AS title, 'Before it' || chr(10) AS text FROM c WHERE turn = 0
+UNION ALL SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT, (turn + 1)::INT, title, text || chr(10) FROM c
+UNION ALL SELECT conv_id, (n + k)::INT, (most + 1 + k)::INT, NULL, '' FROM (SELECT conv_id, count(*) AS n, max(turn) AS most FROM c GROUP BY 1), (VALUES (1), (2)) AS v(k)""")
+def slide_stream(t):
+    events = S.slide_events(slide_chunks(t("conversations"), 7), "conv_id", ["turn", "i"], "chunk", "expected")
+    return S.slide_parts(events, "conv_id").withColumn("part", F.col("part").cast("int"))
+
+
+@query("""WITH c AS (SELECT user_id::VARCHAR AS stream_id, epoch_us(ts) // 1000 AS pos, event_type = 'purchase' AS done FROM events),
+s AS (SELECT *, min(pos) OVER (PARTITION BY stream_id) AS started FROM c),
+e AS (SELECT *, min(pos) FILTER (done AND pos <= started + 129600000) OVER (PARTITION BY stream_id) AS done_at, row_number() OVER (PARTITION BY stream_id ORDER BY pos, done) AS n FROM s),
+f AS (SELECT *, coalesce(done_at, started + 129600000) AS ended, min(n) FILTER (done AND pos = done_at) OVER (PARTITION BY stream_id) AS end_n FROM e)
+SELECT stream_id, CASE WHEN max(done_at) IS NULL THEN 'timed out' ELSE 'done' END AS status, max(ended) AS ended, max(ended) + 90000000 AS expires, max(started) AS started,
+count(*) FILTER (CASE WHEN end_n IS NULL THEN pos <= ended ELSE n <= end_n END) AS chunks, count(*) FILTER (CASE WHEN end_n IS NULL THEN pos > ended ELSE n > end_n END AND pos <= ended + 90000000) AS late, count(*) FILTER (pos > ended + 90000000) AS gone
+FROM f GROUP BY stream_id""")
+def stream_ends(t):
+    chunks = t("events").select(F.col("user_id").cast("string").alias("stream_id"), _ms().alias("at"), (F.col("event_type") == "purchase").alias("done"))
+    return S.stream_ends(chunks, 129_600_000, 90_000_000)
 
 
 @query("SELECT conv_id, max_by(role, turn) AS role, max(turn) FILTER (role = 'user') AS user_turn FROM conversations GROUP BY conv_id")
