@@ -7,7 +7,8 @@ automaton accepts, the rule's reversed automaton finds the leftmost start and
 the run of tail bytes gives the end, so spans are leftmost-longest and do not
 overlap within a kind. Runs that are too short are dropped after they have
 used up their text, as a regex engine would do. In every rule the match that
-ends first also starts first, which that order relies on.
+ends first also starts first, which that order relies on. A private key's span
+goes from its BEGIN line to its END line, or over headers and base64 lines.
 
 Defined results: a null or empty text has no spans (counts 0, the digest of
 the empty string); equal rows give equal results; other columns are ignored.
@@ -16,6 +17,7 @@ the empty string); equal rows give equal results; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -44,8 +46,8 @@ RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?""", r"[A-Za-z0-9+/_.=-]", 6, fold=True),
     Rule("access", r"AKIA", r"[A-Z0-9]", 20, whole=True),
     Rule("hex", r"[0-9a-f]{7}", r"[0-9a-f]", 24, whole=True),
-    #: The header, its key's lines and the dashes behind them.
-    Rule("private_key", r"-----BEGIN [A-Z0-9 ]{0,20}PRIVATE KEY----", r"[A-Za-z0-9+/=\x0A\x0D-]", 1),
+    #: The header's last dash is the tail; ``key_end`` finds where the key ends.
+    Rule("private_key", r"-----BEGIN [A-Z0-9 ]{0,20}PRIVATE KEY( BLOCK)?----", r"-", 1),
     Rule("github", r"gh[pousr]_", r"[A-Za-z0-9]", 36),
     Rule("gitlab", r"glpat-", r"[A-Za-z0-9_-]", 20),
     Rule("slack", r"xox[abposr]-", r"[A-Za-z0-9-]", 10),
@@ -55,6 +57,32 @@ RULES = (
 _FOLLOW = bytes(range(0x80, 0xC0))
 
 
+_KEY_STOP = re.compile(rb"-----END [A-Z0-9 ]{0,20}PRIVATE KEY(?: BLOCK)?-----")
+#: A header such as ``DEK-Info:`` or a line of base64, also where line feeds are written as escapes.
+_KEY_LINE = re.compile(rb"[ \t]*(?:(?:[A-Za-z0-9+/]{16,}=*|[A-Za-z0-9+/]*=+[A-Za-z0-9+/]*)(?P<key>)|[A-Za-z][A-Za-z-]*:[^\r\n\\]*)?(?:[ \t]*(?:\\[nr]|[\r\n]))*")
+
+
+def key_end(data: bytes, at: int) -> int:
+    """Where a private key ends whose BEGIN line ends at ``at``: behind its END line,
+    if that comes before another BEGIN, else behind the last line of base64 of
+    those that follow as headers or base64."""
+    limit = data.find(b"-----BEGIN", at)
+    limit = len(data) if limit < 0 else limit
+    stop = _KEY_STOP.search(data, at, limit)
+    if stop:
+        return stop.end()
+    end = i = at
+    if re.compile(rb"[ \t]+[^ \t\r\n\\]").match(data, at):
+        return at  # other words on its line
+    while i < limit:
+        m = _KEY_LINE.match(data, i, limit)
+        if m.end() == i:
+            break
+        end = m.end("key") if m["key"] is not None else end
+        i = m.end()
+    return end
+
+
 class Scanner:
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         self.rules = rules
@@ -96,8 +124,10 @@ class Scanner:
                 tail, end, size = self.tails[k], at, len(data)
                 while end < size and data[end] in tail:
                     end += 1
-                ends[k] = end
                 rule = self.rules[k]
+                if rule.kind == "private_key":
+                    end = key_end(data, end)
+                ends[k] = end
                 if (end - begin if rule.whole else end - at + 1) >= rule.least:
                     out.append((begin, end, k))
         out.sort(key=lambda x: (x[0], x[2]))
