@@ -3,40 +3,22 @@ same for DuckDB. Queries without SQL here are checked by unit tests."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from loomtext.functions import clock, dom, payloads, services as V, text as T, urls
 from loomtext.operators import cache as C, media as D, metrics as M, routing as R, streams as S, timeline as L
-from loomtext.plans import extract as X
+from loomtext.plans import catalog_services as _services, extract as X  # noqa: F401 - registers its queries
 from loomtext.plans.goldens import GOLDENS
+from loomtext.plans.registry import ORACLES, QUERIES, query
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
 NOW = 1_706_000_000_000
 WS = T.SPACE
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _ms():
     return F.unix_millis(F.col("ts").cast("timestamp"))
 
 
-def query(sql: str | None = None):
-    def add(fn: Callable[..., DataFrame]):
-        QUERIES[fn.__name__] = lambda spark, sf_dir: fn(lambda name: table(spark, sf_dir, name))
-        if sql:
-            ORACLES[fn.__name__] = sql
-        return fn
-
-    return add
-
-
 # SQL of text functions, as strings
 
 def s_trim(x: str) -> str:
