@@ -67,10 +67,10 @@ def extracted_time(requested: Column, actual: Column, base: Column) -> Column:
     return F.when(actual.isNull() | (actual < 0), requested).when(base > 0, near).otherwise(plain)
 
 
-def target_times(targets: Column, scenes: Column, least: float, interval: float) -> Column:
+def target_times(targets: Column, scenes: Column, least: float, interval: Column | float) -> Column:
     """For each target the nearest scene within the window, or the target itself
     if there is none or it is too near the one picked before."""
-    window = max(2.0, min(10.0, interval * 0.35))
+    window = F.greatest(F.lit(2.0), F.least(F.lit(10.0), (interval if isinstance(interval, Column) else F.lit(interval)) * 0.35))
     marks = spaced(scenes, max(0.1, least * 0.25))
 
     def step(picked, target):
@@ -92,6 +92,22 @@ def interval_times(duration: Column, least: float, most: int) -> Column:
     return F.when(duration > 0, F.struct(interval.alias("interval"), F.filter(times, lambda t: t < duration).alias("times")))
 
 
+def slide_plan(media: DataFrame, key: str, least: float, most: int) -> DataFrame:
+    """(key, index, at, start, end) of the slides to take of ``media`` (key, duration,
+    scenes): at even steps, moved to the nearest scene, or at the scenes themselves
+    where the duration is not known; at least ``least`` apart, each moved inside its
+    scene's segment, ``most`` at most. A medium's scenes are one array; for times that
+    do not fit into one see ``operators.thinning``."""
+    scenes = F.coalesce("scenes", F.array().cast("array<double>"))
+    rows = media.withColumns({"i_": interval_times(F.col("duration"), least, most), "s_": scenes})
+    steps = F.coalesce("i_.times", F.array().cast("array<double>"))
+    chosen = F.when(F.size(steps) > 0, target_times(steps, F.col("s_"), least, F.col("i_.interval"))).otherwise(merged(F.col("s_"), steps, least))
+    rows = rows.select(key, scene_segments(F.col("s_"), F.col("duration")).alias("g_"), min_duration(chosen, least).alias("t_"))
+    rows = rows.select(key, "g_", F.posexplode(F.slice("t_", 1, most) if most > 0 else F.col("t_")).alias("pos", "t_"))
+    rows = rows.select(key, (F.col("pos") + 1).alias("index"), "t_", segment_at(F.col("g_"), F.col("t_")).alias("s_"))
+    return rows.select(key, "index", adjusted(F.col("t_"), F.col("s_.start"), F.col("s_.end")).alias("at"), F.col("s_.start").alias("start"), F.col("s_.end").alias("end"))
+
+
 def split_segments(duration: Column, workers: int) -> Column:
     """array(start, duration): about a minute each, at most ``workers`` (16)."""
     workers = max(1, min(16, workers))

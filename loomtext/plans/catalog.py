@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from loomtext.functions import clock, dom, payloads, services as V, text as T, urls
-from loomtext.operators import cache as C, media as D, metrics as M, routing as R, streams as S, timeline as L
+from loomtext.operators import cache as C, media as D, metrics as M, routing as R, streams as S, thinning as N, timeline as L
 from loomtext.plans import catalog_services as _services, extract as X  # noqa: F401 - registers its queries
 from loomtext.plans.goldens import GOLDENS
 from loomtext.plans.registry import ORACLES, QUERIES, query
@@ -402,6 +402,19 @@ def min_gap(t):
     return rows.select("user_id", F.size("k").cast("long").alias("kept"), F.element_at("k", -1).alias("last"))
 
 
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT (epoch_us(ts) // 1000)::DOUBLE AS t FROM events), k AS (SELECT min(t) AS t FROM e UNION ALL SELECT (SELECT min(e.t) FROM e WHERE e.t >= k.t + 7200000) FROM k WHERE k.t IS NOT NULL)
+SELECT 'all' AS medium, t AS kept_at FROM k WHERE t IS NOT NULL""")
+def gap_chain(t):
+    return N.thinned(t("events").select(F.lit("all").alias("medium"), _ms().alias("kept_at")), "medium", "kept_at", 7_200_000)
+
+
+@query()
+def slide_plan(t):
+    day = F.datediff("ts", F.lit("2024-01-01"))
+    media = t("events").where(F.col("event_type") != "error").groupBy("user_id").agg(F.array_sort(F.collect_list((day * 60 + F.col("value")).cast("double"))).alias("scenes"), F.max(F.when(F.col("user_id") % 5 > 0, day * 60.0 + 90)).alias("duration"))
+    return L.slide_plan(media, "user_id", 15.0, 40)
+
+
 @query("SELECT e.user_id, e.at, s.at AS start FROM (SELECT user_id, (epoch_us(ts) // 1000)::DOUBLE AS at FROM events WHERE event_type = 'view') e ASOF LEFT JOIN (SELECT user_id, (epoch_us(ts) // 1000)::DOUBLE AS at FROM events WHERE event_type = 'click') s ON e.user_id = s.user_id AND e.at >= s.at")
 def scene_asof(t):
     rows = t("events").select("user_id", _ms().cast("double").alias("at"), "event_type")

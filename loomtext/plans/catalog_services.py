@@ -135,3 +135,20 @@ CASE how WHEN 'no_feed' THEN 'no feed found for the show' WHEN 'searched_no_feed
 def podcast_chain(t):
     out = podcasts_of(t("documents"))
     return out.select("doc_id", "provider", "kind", F.md5("value").alias("digest"), F.array_join("notes", "|").alias("notes"))
+
+
+# sound in parts
+
+def _part(broken: Column) -> Service:
+    said = F.when(F.col("part") % 7 == 6, " ").otherwise(F.concat(F.col("part").cast("string"), F.lit(":"), F.col("text")))
+    return answering(value=F.when(~broken, said), failure=F.when(broken, F.concat(F.lit("part "), F.col("part").cast("string"), F.lit(" lost"))))
+
+
+@query("""WITH p AS (SELECT doc_id, text, unnest(range((length(text) + 1999) // 2000)) AS part FROM documents WHERE length(text) > 0),
+q AS (SELECT doc_id, part, (doc_id + part) % 46 = 0 AS lost, part || ':' || substr(text, part * 2000 + 1, 2000) AS said FROM p),
+r AS (SELECT doc_id, count(*)::INT AS parts, min(part) FILTER (lost) AS cut, coalesce(string_agg(said, chr(10) || chr(10) ORDER BY part) FILTER (NOT lost AND part % 7 < 6), '') AS said FROM q GROUP BY doc_id)
+SELECT doc_id, coalesce(parts, 0) AS parts, coalesce(cut, parts, 0)::INT AS done, md5(CASE WHEN cut IS NULL THEN said END) AS digest, CASE WHEN parts IS NULL THEN 'no parts' WHEN cut IS NOT NULL THEN 'part ' || cut || ' lost' END AS error, 'cut into ' || parts || ' parts of 2000' AS notes FROM documents LEFT JOIN r USING (doc_id)""")
+def chunked_transcripts(t):
+    k = F.col("doc_id") + F.col("part")
+    out = transcripts.chunked(t("documents").select("doc_id", "text"), "doc_id", "text", 2000, [_part(k % 23 == 0), _part(k % 46 == 0)])
+    return out.select("doc_id", "parts", "done", F.md5("text").alias("digest"), "error", "notes")

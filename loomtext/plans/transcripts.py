@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomtext.functions import payloads, services as V
-from loomtext.operators.chains import Service, Step
+from loomtext.operators.chains import Service, Step, resolve
 
 #: Transcription services in their order, and their names in notes; fixed values.
 HOSTED = {"assemblyai": "AssemblyAI", "gemini": "Gemini", "openai": "OpenAI", "fal": "FAL"}
@@ -133,3 +133,38 @@ def podcast_steps(answers: dict[str, Service], audio_of: Column) -> list[Step]:
         Step("no_episode", fail("episode not found in the feed"), quiet=True),
     ]
     return steps
+
+
+def parts_of(media: DataFrame, key: str, payload: str, size: int) -> DataFrame:
+    """(key, part, parts, payload) of media cut into parts of ``size`` characters or
+    bytes; one without any has none."""
+    length = F.length(payload)
+    rows = media.where(length > 0).withColumn("parts", F.ceil(length / size).cast("int"))
+    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return rows.select(key, "part", "parts", F.substring(payload, F.col("part") * size + 1, F.lit(size)).alias(payload))
+
+
+def chunked(media: DataFrame, key: str, payload: str, size: int, tries: list[Service]) -> DataFrame:
+    """(key, parts, done, text, error, notes) of media that are transcribed in parts.
+
+    Every part is asked for on its own, those that failed again by the next of
+    ``tries`` (a service adds value and, where it fails, failure; a part may have
+    nothing to say). A medium's parts are joined in order with a blank line; its first
+    part that failed to the end cuts it off: it has that part's error and no text,
+    and ``done`` counts the parts before. Media without a payload have the error
+    ``no parts``. Keys are unique."""
+    parts = parts_of(media, key, payload, size)
+    none = F.lit(None).cast("string")
+    again = lambda s: lambda rows: s(rows.withColumn("failure", none))
+    steps = [Step(f"try{i + 1}", again(s), None if i == 0 else F.col("failure").isNotNull()) for i, s in enumerate(tries)]
+    said = resolve(parts, steps, {"failure": "string"}).drop(payload)
+    bad = F.col("value").isNull() & F.col("failure").isNotNull()
+    whole = said.groupBy(key).agg(
+        F.max("parts").alias("parts"), F.min(F.when(bad, F.struct("part", "failure"))).alias("first_"), F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("part", "value")))).alias("texts_"),
+    )
+    text = F.when(F.col("first_").isNull(), F.array_join(F.transform("texts_", lambda t: t["value"]), "\n\n"))
+    whole = whole.select(F.col(key).alias("k_"), "parts", F.coalesce("first_.part", "parts").alias("done"), text.alias("text_"), F.col("first_.failure").alias("error"))
+    rows = media.select(key).join(whole, F.col(key).eqNullSafe(F.col("k_")), "left")
+    lacks = F.col("parts").isNull()
+    notes = F.when(~lacks, F.concat(F.lit("cut into "), F.col("parts").cast("string"), F.lit(f" parts of {size}")))
+    return rows.select(key, F.coalesce("parts", F.lit(0)).alias("parts"), F.coalesce("done", F.lit(0)).alias("done"), F.col("text_").alias("text"), F.when(lacks, "no parts").otherwise(F.col("error")).alias("error"), notes.alias("notes"))
