@@ -108,7 +108,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     rows = docs.where(F.length(text_col) > 0)
     shards = max(1, -(-docs.count() // shard_rows))
     rows = rows.select(
-        F.col(id_col).cast("long").alias("id"), F.length(text_col).alias("n"), F.col(source_col).cast("string").alias("source"), cluster.cast("long").alias("cluster"),
+        F.col(id_col).alias("id"), F.length(text_col).alias("n"), F.col(source_col).cast("string").alias("source"), cluster.cast("long").alias("cluster"),
         F.pmod(F.xxhash64(F.lit("shard"), id_col, text_col), F.lit(shards)).cast("int").alias("shard"),
         *(row_keys(id_col, text_col) if keyed else []),
     )
@@ -135,7 +135,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
             out[col] = pdf[col].to_numpy()[at]
         return out
 
-    schema = "id long, piece int, start int, end int, shard int, bin long, offset int, bin_id long" + "".join(f", {col} long" for col in named)
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"id {kind}, piece int, start int, end int, shard int, bin long, offset int, bin_id long" + "".join(f", {col} long" for col in named)
     return rows.groupBy("shard").applyInPandas(run, schema).withColumnRenamed("id", id_col)
 
 

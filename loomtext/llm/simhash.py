@@ -1,18 +1,18 @@
 """SimHash near-duplicates by multi-index hashing.
 
 A text's fingerprint is the bitwise majority of the XXH64 of its word shingles.
-Distinct fingerprints, each standing for the smallest id that has it, are
-indexed once for each of four 16-bit segments. Two fingerprints at distance 4
-or less agree to within the radius of some segment as long as the radii plus
-the number of segments exceed 4, so radii (1, 0, 0, 0) miss nothing: every
-fingerprint is stored under its four segments and looked up under the Hamming
-ball of each. Matches are verified on all 64 bits. Buckets of over
+Distinct fingerprints are indexed once for each segment of their bits. Two
+fingerprints at distance 4 or less agree to within the radius of some segment
+as long as the radii plus the number of segments exceed 4, so with four
+16-bit segments radii (1, 0, 0, 0) miss nothing: every fingerprint is stored under
+its segments and looked up under the Hamming ball of each. Matches are verified on all 64 bits. Buckets of over
 ``BUCKET_ROWS`` rows are cut into blocks and every pair of blocks is compared in
 a task of its own, so no pair is lost and no task holds a whole hot bucket. A
 task hands on a spanning forest of what it found, never all its pairs.
 
-Fewer segments suit larger tables (3: some 10^8 fingerprints; 2: more);
-``segments`` sets that and never changes the result.
+Fewer, wider segments suit larger tables: their number follows from the count of
+distinct fingerprints, so that chance fills a bucket with no more than
+``BY_CHANCE`` of them; it never changes the result.
 
 Defined results: null, empty and blank texts have fingerprint zero and link
 like any other; equal rows share a component; a null id takes no part in
@@ -35,7 +35,7 @@ from loomtext.llm.shared import cut
 SEED = 42
 SHINGLE = 4
 DISTANCE = 4
-SEGMENTS = 4
+BY_CHANCE = 64
 BUCKET_ROWS = 20_000
 PAIRS_AT_ONCE = 4_000_000
 EDGES_AT_ONCE = 1_000_000
@@ -96,7 +96,7 @@ def flips(width: int, radius: int) -> list[int]:
 
 
 def entries(fps: DataFrame, segments: int, distance: int) -> DataFrame:
-    """(key, home, fp, rep): where each fingerprint is stored (home) and looked up."""
+    """(key, home) and the columns of ``fps`` (fp, ...): where each is stored (home) and looked up."""
     at = []
     for k, (shift, width, radius) in enumerate(segments_of(segments, distance)):
         value = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))
@@ -104,7 +104,7 @@ def entries(fps: DataFrame, segments: int, distance: int) -> DataFrame:
         at.append(F.array(F.struct(value.bitwiseOR(tag).alias("key"), F.lit(True).alias("home"))))
         if masks := flips(width, radius):
             at.append(F.array(*(F.struct(value.bitwiseXOR(F.lit(m).cast("long")).bitwiseOR(tag).alias("key"), F.lit(False).alias("home")) for m in masks)))
-    return fps.select(F.explode(F.concat(*at)).alias("e"), "fp", "rep").select("e.key", "e.home", "fp", "rep")
+    return fps.select(F.explode(F.concat(*at)).alias("e"), *fps.columns).select("e.key", "e.home", *fps.columns)
 
 
 def blocks(rows: DataFrame, limit: int) -> DataFrame:
@@ -118,7 +118,7 @@ def blocks(rows: DataFrame, limit: int) -> DataFrame:
     stored = F.transform(each, lambda j: F.struct((own * F.col("n") + j).alias("cell"), F.lit(True).alias("home")))
     looked = F.transform(each, lambda i: F.struct((i * F.col("n") + own).alias("cell"), F.lit(False).alias("home")))
     cells = cells.when(F.col("home"), F.concat(stored, looked)).otherwise(looked)
-    return rows.join(hot, "key", "left").select("key", F.explode(cells).alias("c"), "fp", "rep").select("key", "c.cell", "c.home", "fp", "rep")
+    return rows.join(hot, "key", "left").select("key", F.explode(cells).alias("c"), "fp").select("key", "c.cell", "c.home", "fp")
 
 
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,11 +138,11 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[parent[away]], ids[away]
 
 
-def bucket_links(fp: np.ndarray, rep: np.ndarray, home: np.ndarray, group: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def bucket_links(fp: np.ndarray, home: np.ndarray, group: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links within groups (``group`` ascending): each row against its group's
     stored rows, in blocks of at most about PAIRS_AT_ONCE pairs."""
     order = np.lexsort((~home, group))
-    fp, rep, home, group = fp[order], rep[order], home[order], group[order]
+    fp, home, group = fp[order], home[order], group[order]
     first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     size = np.diff(np.r_[first, len(group)])
     stored = np.add.reduceat(home.astype(np.int64), first)
@@ -156,16 +156,21 @@ def bucket_links(fp: np.ndarray, rep: np.ndarray, home: np.ndarray, group: np.nd
         if pairs := int(n.sum()):
             a = np.repeat(np.arange(at, end), n)
             b = np.arange(pairs) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[at:end], n)
-            near = (np.bitwise_count(fp[a] ^ fp[b]) <= distance) & (rep[a] < rep[b])
+            near = (np.bitwise_count(fp[a] ^ fp[b]) <= distance) & (fp[a] < fp[b])
             if near.any():
-                yield rep[a[near]], rep[b[near]]
+                yield fp[a[near]], fp[b[near]]
         at = end
 
 
-def links(fps: DataFrame, segments: int = SEGMENTS, distance: int = DISTANCE, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Links (u, v) between the representatives of distinct ``fps`` (fp, rep),
-    enough to connect all that lie within ``distance``."""
-    rows = blocks(entries(fps, segments, distance), bucket_rows)
+def segments_for(count: int, most: int = 4) -> int:
+    """The most segments in whose buckets chance puts no more than ``BY_CHANCE`` of ``count`` fingerprints."""
+    return next((n for n in range(most, 2, -1) if count <= BY_CHANCE << 64 // n), 2)
+
+
+def links(fps: DataFrame, segments: int, distance: int = DISTANCE, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Links (u, v) between distinct ``fps`` (fp), enough to connect all that lie
+    within ``distance``."""
+    rows = blocks(entries(fps.select("fp"), segments, distance), bucket_rows)
     rows = rows.repartition("key", "cell").sortWithinPartitions("key", "cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,11 +179,11 @@ def links(fps: DataFrame, segments: int = SEGMENTS, distance: int = DISTANCE, bu
 
         def work(parts):
             nonlocal us, vs, held
-            key, cell, home, fp, rep = (np.concatenate(x) for x in zip(*parts))
+            key, cell, home, fp = (np.concatenate(x) for x in zip(*parts))
             group = np.cumsum(np.r_[False, (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])])
-            for u, v in bucket_links(fp.view(np.uint64), rep, home, group, distance):
-                us.append(u)
-                vs.append(v)
+            for u, v in bucket_links(fp.view(np.uint64), home, group, distance):
+                us.append(u.view(np.int64))
+                vs.append(v.view(np.int64))
                 held += len(u)
                 if held > EDGES_AT_ONCE:
                     u, v = forest(np.concatenate(us), np.concatenate(vs))
@@ -206,13 +211,14 @@ def links(fps: DataFrame, segments: int = SEGMENTS, distance: int = DISTANCE, bu
     return rows.mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, segments: int = SEGMENTS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, segments: int | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(id, fingerprint, component_id) of every row of ``docs``."""
     marked = cut(fingerprints(docs, id_col, text_col, shingle))
     fps = cut(marked.where(F.col(id_col).isNotNull()).groupBy("fp").agg(F.min(id_col).alias("rep")))
-    parts = connected_components(links(fps, segments, distance, bucket_rows))
-    classes = fps.join(parts, fps["rep"] == parts["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    classes = cut(classes)
+    parts = connected_components(links(fps, segments or segments_for(fps.count()), distance, bucket_rows))
+    known = fps.join(parts, fps["fp"] == parts["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
+    least = known.groupBy("component").agg(F.min("rep").alias("component_id"))
+    classes = cut(known.join(least, "component").select("fp", "component_id"))
     shown = F.lpad(F.lower(F.hex("fp")), 16, "0")
     out = marked.join(classes, "fp", "left")
     return out.select(id_col, shown.alias("fingerprint"), F.when(F.col(id_col).isNotNull(), F.col("component_id")).alias("component_id"))

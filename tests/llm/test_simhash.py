@@ -3,7 +3,7 @@ import random
 import xxhash
 
 from loomtext.llm.components import connected_components
-from loomtext.llm.simhash import entries, fingerprint, near_duplicates, segments_of
+from loomtext.llm.simhash import entries, fingerprint, near_duplicates, segments_for, segments_of
 
 
 def brute_fingerprint(text, k=4):
@@ -97,3 +97,13 @@ def test_connected_components_of_chains_stars_and_nothing(spark):
     got = dict(map(tuple, connected_components(spark.createDataFrame(chain + star, "u long, v long")).collect()))
     assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 161)}
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_ids_of_any_type(spark):
+    rows = [("b", "one two three four five"), ("a", "one two three four five"), ("c", "other words"), (None, "other words")]
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {"a": "a", "b": "a", "c": "c", None: None}
+
+
+def test_segments_follow_the_count():
+    assert [segments_for(n) for n in (0, 4_000_000, 5_000_000, 10**8, 10**9)] == [4, 4, 3, 3, 2]
