@@ -79,12 +79,12 @@ def round_threshold(value: Column) -> Column:
 
 
 def elapsed(ms: Column) -> Column:
-    """1.2s, 12s, 3m 4s, 1h 2m 3s."""
-    total = F.round(ms / 1000)
-    hours, minutes, rest = F.floor(total / 3600), F.floor(total % 3600 / 60), F.floor(total % 60)
+    """1.2s, 12s, 3m 4s, 1h 2m 3s; ``unknown`` below zero."""
+    total = F.floor(ms / 1000)
     text = lambda n: n.cast("long").cast("string")
-    low = F.when(ms < 9950, F.concat(F.format_string("%.1f", ms / 1000), F.lit("s"))).otherwise(F.concat(text(total), F.lit("s")))
-    return F.when(total < 60, low).when(total < 3600, F.concat(text(minutes), F.lit("m "), text(rest), F.lit("s"))).otherwise(F.concat(text(hours), F.lit("h "), text(minutes), F.lit("m "), text(rest), F.lit("s")))
+    minutes = F.concat(text(F.floor(total % 3600 / 60)), F.lit("m "), text(total % 60), F.lit("s"))
+    out = F.when(ms < 0, "unknown").when(total < 10, F.concat(F.format_string("%.1f", ms / 1000), F.lit("s"))).when(total < 60, F.concat(text(total), F.lit("s")))
+    return out.when(total < 3600, minutes).otherwise(F.concat(text(F.floor(total / 3600)), F.lit("h "), minutes))
 
 
 def byte_size(n: Column) -> Column:

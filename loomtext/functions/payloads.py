@@ -150,7 +150,7 @@ def vtt_segments(raw: Column) -> Column:
     """Cues of a VTT text: start and end, text lines up to a blank one joined;
     notes, styles and cues without a start left out; null if none."""
     note = r"(?i)^(NOTE|STYLE|REGION)\b"
-    lines = F.transform(F.split(F.replace(raw, F.lit("\r\n"), F.lit("\n")), "\n"), F.trim)
+    lines = F.transform(F.split(F.replace(raw, F.lit("\r\n"), F.lit("\n")), "\n"), lambda x: F.trim(x))
     empty = F.struct(F.array().cast("array<struct<head:string,text:array<string>>>").alias("cues"), F.lit(False).alias("open"))
 
     def step(s, line):
@@ -178,7 +178,7 @@ def segments_text(segments: Column) -> Column:
 
 def vtt_text(raw: Column) -> Column:
     """Cue texts by line, or without cues the lines that are no markup of the format."""
-    lines = F.transform(F.split(F.replace(raw, F.lit("\r\n"), F.lit("\n")), "\n"), F.trim)
+    lines = F.transform(F.split(F.replace(raw, F.lit("\r\n"), F.lit("\n")), "\n"), lambda x: F.trim(x))
     plain = F.filter(lines, lambda x: (x != "") & (F.upper(x) != "WEBVTT") & ~x.rlike(r"^\d+\z") & ~x.rlike(r"(?i)^(NOTE|STYLE|REGION)\b") & ~F.contains(x, F.lit("-->")))
     return F.coalesce(segments_text(vtt_segments(raw)), F.array_join(plain, "\n"))
 
