@@ -129,6 +129,13 @@ def minutes_from_words(n: Column) -> Column:
     return F.greatest(F.ceil(n / 160), F.lit(1)).cast("long")
 
 
+def upper_bound(last_said: Column, duration: Column) -> Column:
+    """The later of the last time in a transcript and a medium's whole seconds; a
+    duration that is null, not finite or not above 0 counts as unknown."""
+    known = F.when((duration > 0) & (duration < float("inf")) & ~F.isnan(duration), F.floor(duration).cast("double"))
+    return F.greatest(last_said.cast("double"), known)
+
+
 def completion_tokens(n_chars: Column) -> Column:
     return F.greatest(F.lit(256), F.ceil(n_chars / 4)).cast("long")
 

@@ -232,3 +232,29 @@ def model_after_empty(model: Column) -> Column:
     """What to ask when a trial model answers nothing; null if it is none. The model's name is a fixed value."""
     plain, stable = F.lower(F.trim(model)), "google/gemini-2.5-flash"
     return F.when(F.startswith(plain, F.lit("google/")) & plain.rlike("/.*(preview|exp)") & (plain != stable), F.lit(stable))
+
+
+def share_text(done: Column, total: Column) -> Column:
+    """`` 33%``, or nothing where the share is not known."""
+    known = (total > 0) & (total < float("inf")) & (F.abs(done) < float("inf"))
+    return F.coalesce(F.when(known, F.concat(F.lit(" "), F.least(F.greatest(F.round(done / total * 100), F.lit(0)), F.lit(100)).cast("int").cast("string"), F.lit("%"))), F.lit(""))
+
+
+def progress_text(e: Column) -> Column:
+    """What a progress event (struct of kind, service, reason, hint, client, ok, done, total,
+    seconds, total_seconds, part, parts) says to its reader; null for other kinds."""
+    of = lambda text: F.concat(e["service"], F.lit(f": {text}"))
+    either = lambda yes, no: F.when(F.coalesce(e["ok"], F.lit(False)), yes).otherwise(no)
+    by_time, by_part = share_text(e["seconds"], e["total_seconds"]), share_text(e["part"].cast("double"), F.when(e["parts"] != 0, F.greatest(e["parts"].cast("double"), F.lit(1.0))))
+    texts = {
+        "fetch-html-start": F.lit("Fetching…"), "firecrawl-start": F.concat(F.lit("Firecrawl… ("), e["reason"], F.lit(")")), "firecrawl-done": either(F.lit("Firecrawl: done"), F.lit("Firecrawl: failed")),
+        "transcript-start": F.coalesce(F.nullif(F.trim(e["hint"]), F.lit("")), F.lit("Transcript…")), "transcript-media-download-start": of("downloading audio…"),
+        "transcript-media-download-progress": F.concat(of("downloading audio…"), share_text(e["done"], e["total"])), "transcript-whisper-start": of("transcribing…"),
+        "transcript-whisper-progress": F.concat(of("transcribing…"), F.when(by_time != "", by_time).otherwise(by_part)), "transcript-done": either(of("transcript ready"), of("transcript unavailable")),
+        "bird-start": F.concat(F.lit("X: extracting tweet"), F.coalesce(F.concat(F.lit(" ("), F.nullif(e["client"], F.lit("")), F.lit(")")), F.lit("")), F.lit("…")), "bird-done": either(F.lit("X: extracted tweet"), F.lit("X: extract failed")),
+        "nitter-start": F.lit("X: extracting tweet (nitter)…"), "nitter-done": either(F.lit("X: extracted tweet"), F.lit("X: extract failed")),
+    }
+    out = F.lit(None).cast("string")
+    for kind, text in texts.items():
+        out = F.when(e["kind"] == kind, text).otherwise(out)
+    return out

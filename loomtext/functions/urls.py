@@ -12,7 +12,6 @@ MEDIA_EXTENSIONS = ("mp4", "mov", "m4v", "mkv", "webm", "mpeg", "mpg", "avi", "w
 PODCAST_HOSTS = ("spotify.com", "podcasts.apple.com", "podchaser.com", "podbean.com", "buzzsprout.com", "spreaker.com", "simplecast.com", "rss.com", "libsyn.com", "omny.fm", "acast.com", "transistor.fm", "captivate.fm", "soundcloud.com", "ivoox.com", "iheart.com", "megaphone.fm", "pca.st", "player.fm", "castbox.fm")
 MESSAGE_HOSTS = ("x.com", "twitter.com", "mobile.twitter.com")
 MIRROR_HOSTS = ("nitter.net", "nitter.poast.org", "nitter.catsarch.com", "nitter.privacydev.net", "nitter.1d4.us")
-CHALLENGE_MARKS = ("anubis", "proof-of-work", "proof of work", "hashcash", "jshelter")
 PAGE_EXTENSIONS = ("html", "htm", "php", "asp", "aspx")
 
 

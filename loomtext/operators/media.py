@@ -22,21 +22,23 @@ def _cacheable() -> Column:
 def read(index: DataFrame, files: DataFrame, wanted: DataFrame, now: int, verify: str = "size") -> DataFrame:
     """``wanted`` (url) with status: hit, or why not: unfit, miss, expired, gone
     (no file), changed (a file of another size, or with ``verify`` hash of another
-    sum). A size or sum that the index does not know is not held against a file."""
+    sum), and the size and sum then known. A size or sum that the index does not
+    know is not held against a file; ``hash`` learns the sum."""
     own = index.select("url", F.col("size_bytes").alias("size_"), F.col("sha256").alias("sum_"), "expires_at", F.lit(True).alias("known_"))
     seen = files.select("url", F.col("size_bytes").alias("now_size_"), F.col("sha256").alias("now_sum_"), F.lit(True).alias("there_"))
     rows = wanted.select("url").join(own, "url", "left").join(seen, "url", "left")
     differs = {"size": F.col("size_") != F.col("now_size_"), "hash": F.col("sum_") != F.col("now_sum_"), "none": F.lit(False)}[verify]
     status = F.when(~_cacheable(), "unfit").when(F.col("known_").isNull(), "miss").when(C.is_expired(now), "expired").when(F.col("there_").isNull(), "gone").when(F.coalesce(differs, F.lit(False)), "changed").otherwise("hit")
-    return rows.select("url", status.alias("status"), F.coalesce("now_size_", "size_").alias("size_bytes"))
+    learned = F.coalesce("sum_", "now_sum_") if verify == "hash" else F.col("sum_")
+    return rows.select("url", status.alias("status"), F.coalesce("now_size_", "size_").alias("size_bytes"), learned.alias("sha256"))
 
 
 def after_read(index: DataFrame, found: DataFrame, now: int) -> DataFrame:
-    """The index after ``read``: hits accessed now and of the size found, expired, gone and changed entries out."""
-    seen = found.groupBy("url").agg(F.max("status").alias("status_"), F.max("size_bytes").alias("size_"))
+    """The index after ``read``: hits accessed now and of the size and sum found, expired, gone and changed entries out."""
+    seen = found.groupBy("url").agg(F.max("status").alias("status_"), F.max("size_bytes").alias("size_"), F.max("sha256").alias("sum_"))
     rows = index.where(~C.is_expired(now)).join(seen, "url", "left").where(F.coalesce(~F.col("status_").isin("gone", "changed"), F.lit(True)))
     hit = F.coalesce(F.col("status_") == "hit", F.lit(False))
-    return rows.withColumns({"size_bytes": F.when(hit, F.col("size_")).otherwise(F.col("size_bytes")), "last_accessed_at": F.when(hit, F.lit(now).cast("long")).otherwise(F.col("last_accessed_at"))}).select(INDEX)
+    return rows.withColumns({"size_bytes": F.when(hit, F.col("size_")).otherwise(F.col("size_bytes")), "last_accessed_at": F.when(hit, F.lit(now).cast("long")).otherwise(F.col("last_accessed_at")), "sha256": F.when(hit, F.coalesce("sha256", "sum_")).otherwise(F.col("sha256"))}).select(INDEX)
 
 
 def written(index: DataFrame, files: DataFrame, now: int, most: int = 0, ttl_ms: int = 0) -> DataFrame:
@@ -80,3 +82,13 @@ def searched_episodes(wanted: DataFrame, results: DataFrame) -> DataFrame:
     named = loose_title(F.col("title")) == loose_title(F.col("episode"))
     rank = F.struct(named & F.coalesce(loose_title(F.col("collection")) == loose_title(F.col("show")), F.lit(False)), named, -F.col("pos"))
     return wanted.join(usable, "id").groupBy("id").agg(F.max_by("url", rank).alias("url"), F.max_by("title", rank).alias("title"))
+
+
+def show_feeds(wanted: DataFrame, results: DataFrame) -> DataFrame:
+    """(id, feed_url) for ``wanted`` (id, show): of a directory's ``results`` (id, pos,
+    collection, feed_url) the first with the show's loose title, else the first, if its
+    feed is an http(s) address."""
+    rows = wanted.join(results, "id")
+    rank = F.struct((loose_title(F.coalesce("collection", F.lit(""))) != loose_title(F.col("show"))).alias("other"), "pos")
+    best = rows.groupBy("id").agg(F.min_by(F.trim("feed_url"), rank).alias("feed_url"))
+    return best.where(F.col("feed_url").rlike("(?i)^https?://"))

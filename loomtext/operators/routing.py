@@ -96,6 +96,16 @@ def free_models(catalog: DataFrame, now_ms: int, days: int, least_b: float) -> D
     return catalog.where(F.col("id").endswith(":free") & age.between(0, days * 86_400_000) & (F.coalesce(T.parameter_billions(F.col("id")), F.lit(1e9)) >= least_b))
 
 
+def with_metadata(working: DataFrame, catalog: DataFrame) -> DataFrame:
+    """``working`` (id, ...) with the context_length, max_output, parameters and modality
+    that the catalog has of the id; of repeated ids its last by ``pos``. Ids that the
+    catalog lacks have no metadata and 0 parameters."""
+    names = ["context_length", "max_output", "parameters", "modality"]
+    last = catalog.groupBy("id").agg(F.max_by(F.struct(*names), "pos").alias("m_")).select(F.col("id").alias("i_"), "m_")
+    rows = working.join(last, F.col("id") == F.col("i_"), "left").select(*working.columns, *(F.col(f"m_.{n}").alias(n) for n in names))
+    return rows.withColumn("parameters", F.coalesce("parameters", F.lit(0)))
+
+
 def smart_order() -> list[Column]:
     none = lambda c: F.coalesce(F.col(c), F.lit(-1)).desc()
     return [none("context_length"), none("max_output"), none("parameters")]

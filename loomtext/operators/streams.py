@@ -89,6 +89,56 @@ def stream_ends(chunks: DataFrame, timeout_ms: int, ttl_ms: int) -> DataFrame:
     return out.select("stream_id", "status", "ended", (F.col("ended") + ttl_ms).alias("expires"), "started", chunks_in.alias("chunks"), (F.col("all_") - chunks_in - F.col("gone")).alias("late"), "gone")
 
 
+class EarlyEnd:
+    """Bytes so far, the marks seen and a tail in which one may yet be completed."""
+
+    def __init__(self, least: int, groups: tuple[tuple[str, ...], ...]):
+        self.least, self.groups = least, groups
+        self.open, self.tail, self.size, self.ended = {m for g in groups for m in g}, "", 0, False
+        self.reach = max(map(len, self.open), default=1) - 1
+
+    def step(self, order, chunk: str | None) -> list[tuple]:
+        if self.ended:
+            return []
+        chunk = chunk or ""
+        text = self.tail + chunk
+        self.open -= {m for m in self.open if m in text}
+        self.tail = text[max(0, len(text) - self.reach) :] if self.reach else ""
+        self.size += len(chunk.encode())
+        self.ended = self.size >= self.least and any(self.open.isdisjoint(g) for g in self.groups)
+        return [(order, self.size, self.ended)]
+
+    def finish(self) -> list[tuple]:
+        return []
+
+
+def early_ended(chunks: DataFrame, key: str, order: str, chunk: str, least: int, groups: tuple[tuple[str, ...], ...]) -> DataFrame:
+    """(key, order, size, ended): the chunks that are read of each stream, which ends
+    with the chunk by which ``least`` bytes have come and all marks of some group
+    stand in the text so far, also across chunks; the others are never asked for.
+    Without ``ended`` the stream was read to its own end."""
+    kind = chunks.schema[order].dataType.simpleString()
+    return folded(chunks, key, [order, chunk], [order, chunk], lambda: EarlyEnd(least, groups), f"`{order}` {kind}, size long, ended boolean")
+
+
+def subscriptions(events: DataFrame, subscribers: DataFrame, key: str, most: int = 1_000_000, keepalive_ms: int = 15_000) -> DataFrame:
+    """(subscriber, key, kind, seq, at) of what each of ``subscribers`` (subscriber, key,
+    joined) receives of ``events`` (key, seq, at, size, last): first what the session's
+    buffer holds when it joins, the newest events within ``most`` bytes, then what comes
+    later, up to the session's last event; until then a sign of life after every
+    ``keepalive_ms``. ``seq`` tells the events' order; who joins a session that has ended
+    only gets the buffer."""
+    ends = events.where("last").groupBy(key).agg(F.min("at").alias("end_"), F.min("seq").alias("last_"))
+    known = events.join(ends, key, "left").where(F.col("last_").isNull() | (F.col("seq") <= F.col("last_")))
+    rows = subscribers.join(known, key)
+    held = F.sum("size").over(Window.partitionBy("subscriber", key, "old_").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("old_", F.col("at") <= F.col("joined")).withColumn("held_", held)
+    sent = rows.where(~F.col("old_") | (F.col("held_") <= most)).select("subscriber", key, F.when(F.col("old_"), "replay").otherwise("live").alias("kind"), "seq", "at")
+    spans = subscribers.join(known.groupBy(key).agg(F.max(F.coalesce("end_", "at")).alias("end_")), key).where(F.col("end_") > F.col("joined") + keepalive_ms)
+    beats = spans.select("subscriber", key, F.lit("keepalive").alias("kind"), F.lit(None).cast("long").alias("seq"), F.explode(F.sequence(F.col("joined") + keepalive_ms, F.col("end_") - 1, F.lit(keepalive_ms).cast("long"))).alias("at"))
+    return sent.unionByName(beats)
+
+
 def gated(states: DataFrame, key: str, order: str, text: str, lines: bool) -> DataFrame:
     """(key, order, written): what an output writes for each state of the text."""
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:

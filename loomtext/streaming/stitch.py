@@ -45,3 +45,11 @@ def event_windows(events: DataFrame, late: str = "10 minutes", size: str = "1 ho
 def user_sessions(events: DataFrame, late: str = "10 minutes", gap: str = "30 minutes") -> DataFrame:
     """Sessions of each user, closed by a gap."""
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
+def live_after(live: DataFrame, snapshot: DataFrame, key: str, seq: str) -> DataFrame:
+    """Of a stream of events those behind a stored snapshot of them: with the
+    snapshot in front each event comes once, however far the two overlap. The
+    cut of a key is its largest ``seq`` in the snapshot, which must have all before it."""
+    cut = snapshot.groupBy(F.col(key).alias("key_")).agg(F.max(seq).alias("cut_"))
+    return live.join(cut, F.col(key) == F.col("key_"), "left").where(F.col("cut_").isNull() | (F.col(seq) > F.col("cut_"))).drop("key_", "cut_")

@@ -4,9 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomtext.functions.segments import Segmenter, joined
-from loomtext.operators import streams as S
+from loomtext.operators import media as D, streams as S
 from loomtext.plans import catalog
-from loomtext.streaming import clocks
+from loomtext.streaming import clocks, stitch
 
 PIECES = ["[", "]", "slide", "Slide ", "slide 3", " ", ":", "3", "12", "0", "\n", "\n\n", "of 10", "/", "·", "-", "Title:", "# Head", "word", "A sentence. ", "x" * 50, "y" * 170, " " * 45, "[slide:2]", "[slide]", "[note slide 7]", "slide:4]", "\t", "headline: Big", "é"]
 
@@ -123,3 +123,39 @@ def test_slide_stream_equals_the_batch_fold(spark, tmp_path):
         own = sorted((r.event, r.kind, r.slide, r.value) for r in out if r.stream_id == k)
         assert [e[0] for e in own] == list(range(len(own)))
         assert joined([e[1:] for e in own]) == events(v[:-1], range(1, 5))
+
+
+def test_late_subscribers_equal_early_ones(spark, tmp_path):
+    events = spark.createDataFrame([("s", i, i * 10, 5, i == 8) for i in range(12)] + [("open", i, i * 10, 5, False) for i in range(3)], "id string, seq long, at long, size int, last boolean")
+    joins = spark.createDataFrame([("early", "s", -1), ("mid", "s", 35), ("late", "s", 500), ("o", "open", 12), ("none", "x", 0)], "subscriber string, id string, joined long")
+    got = S.subscriptions(events, joins, "id", 1_000_000, 25).collect()
+    seqs = lambda who: sorted(r.seq for r in got if r.subscriber == who and r.seq is not None)
+    assert seqs("early") == seqs("mid") == seqs("late") == list(range(9)) and seqs("o") == [0, 1, 2] and seqs("none") == []
+    assert {(r.seq, r.kind) for r in got if r.subscriber == "mid" and r.seq is not None} == {(i, "replay" if i <= 3 else "live") for i in range(9)}
+    assert sorted(r.at for r in got if r.kind == "keepalive" and r.subscriber in ("early", "mid")) == [24, 49, 60, 74] and not any(r.kind == "keepalive" for r in got if r.subscriber == "late")
+    small = S.subscriptions(events, joins, "id", 12, 25).where("subscriber = 'late'").collect()
+    assert sorted(r.seq for r in small) == [7, 8] and S.subscriptions(events.limit(0), joins, "id").count() == 0
+
+
+def test_a_snapshot_and_its_stream_overlap_without_loss_or_repeat(spark, tmp_path):
+    rows = spark.createDataFrame([(k, i, f"{k}{i}") for k in "abc" for i in range(20)], "id string, seq long, said string")
+    snapshot = rows.where("(id = 'a' and seq < 7) or (id = 'b' and seq < 20)")
+    files = [rows.where((F.col("seq") >= 5 * i) & (F.col("seq") < 5 * i + 5)) for i in range(4)]
+    live = streamed(spark, files, rows.schema, lambda s: stitch.live_after(s, snapshot, "id", "seq"), tmp_path, "live")
+    assert rows_of(snapshot.unionByName(live)) == rows_of(rows)
+
+
+def test_early_end_sees_marks_across_chunks(spark):
+    rows = spark.createDataFrame([("a", i, c) for i, c in enumerate("xx{boot}yy")] + [("b", 0, None), ("b", 1, "é" * 4), ("b", 2, "stop"), ("b", 3, "more"), ("c", 0, "")], "k string, i int, chunk string")
+    read = S.early_ended(rows, "k", "i", "chunk", 5, (("{boot", "}"), ("stop",)))
+    assert rows_of(read.where("k = 'a'"))[-1] == ("a", 7, 8, True) and read.where("k = 'a'").count() == 8
+    assert rows_of(read.where("k <> 'a'")) == [("b", 0, 0, False), ("b", 1, 8, False), ("b", 2, 12, True), ("c", 0, 0, False)]
+
+
+def test_media_index_learns_sums(spark):
+    index = spark.createDataFrame([("https://a/1", 5, None, 0, 0, None), ("https://a/2", 5, "x", 0, 0, None)], "url string, size_bytes long, sha256 string, created_at long, last_accessed_at long, expires_at long")
+    files = spark.createDataFrame([("https://a/1", 5, "s1"), ("https://a/2", 5, "y")], "url string, size_bytes long, sha256 string")
+    found = D.read(index, files, index.select("url"), 9, "hash")
+    assert {r.url: r.status for r in found.collect()} == {"https://a/1": "hit", "https://a/2": "changed"}
+    assert [tuple(r) for r in D.after_read(index, found, 9).collect()] == [("https://a/1", 5, "s1", 0, 9, None)]
+    assert [r.sha256 for r in D.after_read(index, D.read(index, files, index.select("url"), 9), 9).orderBy("url").collect()] == [None, "x"]
