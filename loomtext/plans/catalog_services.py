@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from loomtext.functions import tokens
 from loomtext.operators.chains import Service, ledger, resolve
 from loomtext.plans import fetching, transcripts
 from loomtext.plans.registry import query
@@ -152,3 +153,17 @@ def chunked_transcripts(t):
     k = F.col("doc_id") + F.col("part")
     out = transcripts.chunked(t("documents").select("doc_id", "text"), "doc_id", "text", 2000, [_part(k % 23 == 0), _part(k % 46 == 0)])
     return out.select("doc_id", "parts", "done", F.md5("text").alias("digest"), "error", "notes")
+
+
+# tokens
+
+#: A public vocabulary's ranks; a parameter of the functions.
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@query()
+def token_counts(t):
+    docs = t("documents")
+    columns = tokens.TokenColumns(docs.sparkSession, tokens.read_ranks(docs.sparkSession, RANKS))
+    cut = columns.fitted(F.col("text"), F.lit(200))
+    return docs.select("doc_id", columns.count(F.col("text")).alias("n_tokens"), F.md5(cut).alias("cut_digest"), F.length(cut).alias("cut_chars"))
