@@ -57,20 +57,15 @@ def shared_head(a: str, b: str) -> int:
 
 
 def continued(head: str, tail: str) -> int:
-    """The longest beginning of ``head`` that ends ``tail``, by its prefix function."""
-    back = [0] * (len(head) + 1)
-    state = 0
-    for i, c in enumerate(head):
-        while i and state and head[state] != c:
-            state = back[state]
-        state += bool(i and head[state] == c)
-        back[i + 1] = state
-    state = 0
-    for c in tail:
-        while state and (state == len(head) or head[state] != c):
-            state = back[state]
-        state += head[state] == c
-    return state
+    """The longest beginning of ``head`` that ends ``tail``: wherever its first
+    characters stand, from the left, it is compared with the rest of ``tail``."""
+    size, first = len(tail), head[:4]
+    at = max(0, size - len(head))
+    while first and (at := tail.find(first, at)) >= 0:
+        if head.startswith(tail[at:]):
+            return size - at
+        at += 1
+    return next((n for n in range(min(3, len(head), size), 0, -1) if tail.endswith(head[:n])), 0)
 
 
 def merge_chunk(before: str, chunk: str) -> tuple[str, str]:

@@ -206,10 +206,14 @@ def transcript_payload(raw: Column) -> Column:
     return F.coalesce(T.normalize_transcript_lines(said), F.nullif(T.normalize_transcript_text(F.coalesce(P.field(v, "$"), P.field(v, "$.text"))), F.lit("")))
 
 
+#: Phrases of pages that are walls, in lower case; fixed values.
+WALLS = "access denied|attention required|captcha|cloudflare|enable javascript|forbidden|please turn javascript on|verify you are human"
+
+
 def looks_blocked(page: Column) -> Column:
     """Whether the head of a page says that it is a wall; embedded page data tell of a real page."""
     head = F.lower(F.left(page, F.lit(20_000)))
-    walled = head.rlike("access denied|attention required|captcha|cloudflare|enable javascript|forbidden|please turn javascript on|verify you are human")
+    walled = head.rlike(WALLS)
     return F.coalesce(walled & ~F.contains(head, F.lit("__next_data__")), F.lit(False))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import clock, services as V
 from loomtext.operators import media as D, routing as R, streams as S
+from loomtext.plans import extract as X
 from loomtext.plans.registry import query
 
 
@@ -84,3 +85,17 @@ def show_feeds(t):
     results = t("lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_linenumber") * 1_000_000 + k).alias("pos"), F.when(k % 7 > 0, F.concat(F.lit("The Show: "), (k % 4).cast("string"))).alias("collection"), F.when(k % 5 == 0, F.concat(F.lit("ftp://f/"), k)).when(k % 5 > 1, F.concat(F.lit(" https://f.example/"), k, F.lit(" "))).alias("feed_url"))
     wanted = t("orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("the SHOW "), (F.col("o_orderkey") % 4).cast("string")).alias("show"))
     return D.show_feeds(wanted, results)
+
+
+@query(r"""WITH p AS (SELECT page_id, page_id % 8 AS m, url, html, CASE WHEN page_id % 3 = 0 THEN ' said ' || page_id || chr(9) || 'it ' WHEN page_id % 9 = 1 THEN ' ' END AS said FROM pages),
+q AS (SELECT *, CASE m WHEN 0 THEN 'video' WHEN 1 THEN 'podcast_episode' WHEN 2 THEN 'podcast_show' WHEN 3 THEN 'message' WHEN 4 THEN 'broadcast' WHEN 5 THEN 'media' ELSE 'html' END AS strategy, page_id % 3 = 0 AS spoken FROM p)
+SELECT page_id, strategy, CASE WHEN strategy = 'html' THEN regexp_matches(lower(html), '<video|<audio|<track|og:video|og:audio|youtube\.com/embed|youtu\.be/') ELSE true END AS probe, CASE WHEN spoken THEN 'Transcript:' || chr(10) || 'said ' || page_id || ' it' WHEN strategy <> 'html' THEN '' END AS content,
+CASE WHEN m = 0 THEN 'https://www.youtube.com/watch?v=' || substr(md5(page_id::VARCHAR), 1, 11) END AS video_url, m = 0 AS is_video_only, CASE WHEN spoken OR strategy <> 'html' THEN m NOT IN (0, 1, 2, 5) END AS short FROM q""")
+def routed_pages(t):
+    k = F.col("page_id")
+    links = ["https://youtu.be/@", "https://open.spotify.com/episode/@", "https://podcasts.apple.com/us/podcast/x/id1?i=2", "https://x.com/a/status/12", "https://x.com/i/broadcasts/@", "https://a.example/@.mp3"]
+    link = F.replace(F.get(F.array(*map(F.lit, links), F.col("url"), F.col("url")), (k % 8).cast("int")), F.lit("@"), F.substring(F.md5(k.cast("string")), 1, 11))
+    said = F.when(k % 3 == 0, F.concat(F.lit(" said "), k.cast("string"), F.lit("\tit "))).when(k % 9 == 1, " ")
+    out = X.extract(t("pages").select("page_id", link.alias("url"), "html", said.alias("said")), transcript_col="said")
+    sure = (k % 3 == 0) | (F.col("strategy") != "html")
+    return out.select("page_id", "strategy", "probe", F.when(sure, F.col("content")).alias("content"), F.when(F.col("strategy") != "html", F.col("video_url")).alias("video_url"), F.when(F.col("strategy") != "html", F.col("is_video_only")).otherwise(False).alias("is_video_only"), F.when(sure, F.col("short")).alias("short"))

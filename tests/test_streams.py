@@ -1,8 +1,10 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from loomtext.functions import scan
 from loomtext.functions.segments import Segmenter, joined
 from loomtext.operators import media as D, streams as S
 from loomtext.plans import catalog
@@ -159,3 +161,33 @@ def test_media_index_learns_sums(spark):
     assert {r.url: r.status for r in found.collect()} == {"https://a/1": "hit", "https://a/2": "changed"}
     assert [tuple(r) for r in D.after_read(index, found, 9).collect()] == [("https://a/1", 5, "s1", 0, 9, None)]
     assert [r.sha256 for r in D.after_read(index, D.read(index, files, index.select("url"), 9), 9).orderBy("url").collect()] == [None, "x"]
+
+
+def test_the_longest_continuation():
+    rnd = random.Random(4)
+    for _ in range(20_000):
+        head, tail = ("".join(rnd.choice("aab") for _ in range(rnd.randint(0, 12))) for _ in range(2))
+        assert scan.continued(head, tail) == max(n for n in range(len(head) + 1) if tail.endswith(head[:n]))
+    began = time.perf_counter()
+    assert scan.continued("a" * 2047 + "b", "a" * 2048) == 2047 and scan.continued("aaab" * 512, "aaab" * 511 + "aaac") == 0
+    assert time.perf_counter() - began < 0.2
+
+
+def test_merged_chunks_of_the_table_equal_a_direct_fold(spark, sf):
+    talks = {}
+    for r in spark.read.parquet(f"{sf}/conversations.parquet").orderBy("conv_id", "turn").collect():
+        talks.setdefault(r.conv_id, []).append((r.turn, r.text))
+    want = set()
+    for k, turns in talks.items():
+        text = ""
+        for turn, chunk in turns:
+            head = next((i for i, (a, b) in enumerate(zip(text, chunk)) if a != b), min(len(text), len(chunk)))
+            if head == len(chunk) and text:
+                added = ""
+            elif head == len(text) or len(chunk) >= len(text) and min(head, 4096) >= max(len(text) - 64, int(len(text) * 0.9), 1):
+                added, text = chunk[head if head == len(text) else min(head, 4096) :], chunk
+            else:
+                added = chunk[max(n for n in range(min(len(text), len(chunk), 2048) + 1) if text.endswith(chunk[:n])) :]
+                text += added
+            want.add((k, turn, len(added), len(text)))
+    assert {(r.conv_id, r.turn, r.appended, r.total) for r in catalog.QUERIES["stream_merge"](spark, sf).collect()} == want
