@@ -11,11 +11,12 @@ every byte of two four-bit codes; the best ``RERANK`` of a block of rows are
 reranked by exact double-precision distances on the original vectors.
 
 The codebooks are fitted on about ``SAMPLE`` rows, taken by a hash of the id;
-every row is encoded. Queries go against all rows in blocks of about
-``QUERY_BLOCK``, the only thing broadcast; what a block finds is stored and its
-broadcast destroyed before the next, so neither driver nor plan grows with the
-queries. A worker holds tables of ``TABLE_BYTES`` at a time, for as many queries
-as they serve. Equal vectors in a block of rows count
+every row is encoded. The index is a table of blocks of some ``BLOCK_BYTES``,
+dealt by a hash of the id, so what is found does not depend on partitions or
+batches. Queries go against all rows some ``QUERY_BYTES`` at a time, the only
+thing broadcast; what they find is stored and their broadcast destroyed before
+the next, so neither driver nor plan grows with the queries. A worker holds tables
+of ``TABLE_BYTES`` at a time, for as many queries as they serve. Equal vectors in a block of rows count
 once in the scan and are expanded to their smallest ids behind it, so thousands
 of copies neither crowd out other vectors nor break ties wrongly.
 
@@ -40,7 +41,8 @@ from loomtext.llm.shared import cut, shared_folder
 NEIGHBOURS = 10
 RERANK = 200
 SAMPLE = 20_000
-QUERY_BLOCK = 4096
+#: Bytes of queries that go over the index at once, and of vectors in one of its blocks.
+QUERY_BYTES, BLOCK_BYTES = 32 << 20, 4 << 20
 THRESHOLD = 0.2
 CODEWORDS = 16
 ROUNDS = 6
@@ -181,32 +183,53 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.size("x") == (sizes[0]["d"] if sizes else 0)).groupBy("id").agg(F.min("x").alias("x"))
 
 
-def build_index(rows: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, Quantizer | None]:
-    """(id, x, code) of every row, and the quantizer fitted on the sample."""
+def build_index(rows: DataFrame, sample: int = SAMPLE, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, Quantizer | None]:
+    """(ids, x, codes) of blocks of the ``rows`` (id, x), packed as bytes, and the
+    quantizer fitted on the sample. Blocks hold some ``block_bytes`` of vectors,
+    dealt by a hash of the id, so they are the same however rows lie in partitions."""
     total = rows.count()
     if not total:
-        return rows.withColumn("code", F.lit(None).cast("binary")), None
+        return rows.sparkSession.createDataFrame([], "ids binary, x binary, codes binary"), None
     draw = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 20)) / float(1 << 20)
     drawn = rows.where(draw < min(1.0, sample / total)).orderBy("id").limit(2 * sample).select("x").toArrow() if total > sample else rows.orderBy("id").select("x").toArrow()
-    quantizer = Quantizer.fit(np.array(drawn.column(0).to_pylist(), float))
+    fitted = np.array(drawn.column(0).to_pylist(), float)
+    quantizer = Quantizer.fit(fitted)
+    blocks = max(1, -(-total * 8 * fitted.shape[1] // block_bytes))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+
+        def packed() -> pa.RecordBatch:
+            table = pa.Table.from_batches(kept).combine_chunks()
+            kept.clear()
+            x = matrix(table.column(2).chunk(0))
+            parts = (table.column(1).to_numpy().astype(np.int64), x, pack_codes(quantizer.codes(x)))
+            return pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(p).tobytes()], pa.binary()) for p in parts], names=["ids", "x", "codes"])
+
         for batch in batches:
-            if batch.num_rows:
-                packed = pack_codes(quantizer.codes(matrix(batch.column(1))))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in packed], pa.binary())], names=["id", "x", "code"])
+            own = batch.column(0).to_numpy()
+            edges = np.r_[0, np.flatnonzero(own[1:] != own[:-1]) + 1, len(own)] if len(own) else []
+            for at, end in zip(edges[:-1], edges[1:]):
+                if kept and kept[0].column(0)[0].as_py() != own[at]:
+                    yield packed()
+                kept.append(batch.slice(at, end - at))
+        if kept:
+            yield packed()
 
-    return rows.mapInArrow(encode, "id long, x array<double>, code binary"), quantizer
+    block = F.pmod(F.xxhash64(F.lit("dealt"), "id"), F.lit(blocks)).alias("block")
+    dealt = rows.select(block, "id", "x").repartition("block").sortWithinPartitions("block", "id")
+    return dealt.mapInArrow(encode, "ids binary, x binary, codes binary"), quantizer
 
 
 def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def search(index: DataFrame, quantizer: Quantizer, queries: DataFrame, neighbours: int = NEIGHBOURS, rerank: int = RERANK, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """(query_id, rank, vec_id, score) for the ``queries`` (id, x)."""
-    spark = index.sparkSession
-    blocks = max(1, -(-queries.count() // query_block))
+def search(index: DataFrame, quantizer: Quantizer, queries: DataFrame, neighbours: int = NEIGHBOURS, rerank: int = RERANK, query_block: int | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score) for the ``queries`` (id, x), some QUERY_BYTES
+    of which, or ``query_block``, go over the index at once."""
+    spark, width = index.sparkSession, len(quantizer.centre)
+    blocks = max(1, -(-queries.count() // (query_block or max(1, QUERY_BYTES // (8 * width)))))
     kind, folder = "query_id long, vec_id long, score double", f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     spark.createDataFrame([], kind).write.parquet(folder)
     for b in range(blocks):
@@ -218,10 +241,10 @@ def search(index: DataFrame, quantizer: Quantizer, queries: DataFrame, neighbour
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             scan = None
             for batch in batches:
-                if batch.num_rows:
+                for ids, x, codes in zip(*(c.to_pylist() for c in batch.columns)):
                     scan = scan or Scan(quantizer, *sent.value, neighbours, rerank)
-                    codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-                    parts = list(scan.block(batch.column(0).to_numpy(), matrix(batch.column(1)), codes))
+                    ids = np.frombuffer(ids, np.int64)
+                    parts = list(scan.block(ids, np.frombuffer(x, float).reshape(len(ids), -1), np.frombuffer(codes, np.uint8).reshape(len(ids), -1)))
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat([q for q, _, _ in parts], [len(i) for _, i, _ in parts]).astype(np.int64)), pa.array(np.concatenate([i for _, i, _ in parts])), pa.array(np.concatenate([d for _, _, d in parts]))], names=["query_id", "vec_id", "score"])
 
         index.mapInArrow(run, kind).write.mode("append").parquet(folder)
@@ -231,10 +254,10 @@ def search(index: DataFrame, quantizer: Quantizer, queries: DataFrame, neighbour
     return found.withColumn("rank", rank).where(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score")
 
 
-def nearest_neighbours(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", neighbours: int = NEIGHBOURS, rerank: int = RERANK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", neighbours: int = NEIGHBOURS, rerank: int = RERANK, query_block: int | None = None) -> DataFrame:
     """Each query's nearest rows; ``is_query`` is a test of the column ``id``."""
-    index, quantizer = build_index(cut(usable(vectors, id_col, vector_col)))
+    rows = cut(usable(vectors, id_col, vector_col))
+    index, quantizer = build_index(rows)
     if quantizer is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    index = cut(index)
-    return search(index, quantizer, index.where(is_query), neighbours, rerank, query_block)
+    return search(cut(index), quantizer, rows.where(is_query), neighbours, rerank, query_block)

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
@@ -76,3 +77,19 @@ def test_copies_ties_and_odd_rows(spark):
     few = spark.createDataFrame([(100, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r.vec_id) for r in nearest_neighbours(few, F.col("id") % 100 == 0).collect()] == [(100, 1)]
     assert nearest_neighbours(few.limit(0), F.col("id") % 100 == 0).count() == 0
+
+
+def test_results_do_not_depend_on_partitions(spark):
+    """100,000 rows in one partition and in ten: many blocks, of which each reranks a few per cent."""
+    rnd = np.random.default_rng(12)
+    centres = rnd.normal(size=(400, 16)) * 2
+    x = centres[rnd.integers(0, 400, 100_000)] + rnd.normal(size=(100_000, 16))
+    table = pa.table({"vec_id": np.arange(100_000), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), 16).cast(pa.list_(pa.float64()))})
+    df = spark.createDataFrame(table)
+    got = []
+    for n in (1, 10):
+        rows = nearest_neighbours(df.repartition(n), F.col("id") % 2500 == 0).collect()
+        got.append(sorted((r.query_id, r.rank, r.vec_id, r.score) for r in rows))
+    assert got[0] == got[1] and len(got[0]) == 400
+    hits = sum(len({v for q, _, v, _ in got[0] if q == i} & {v for v, _ in brute(np.arange(100_000), x, i)}) for i in range(0, 100_000, 2500))
+    assert hits >= 0.9 * 400
