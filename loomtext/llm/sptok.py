@@ -12,6 +12,12 @@ from forward and backward scores of the edges off the best path), so only those
 are searched. Code points outside the vocabulary, and the mark itself in a text,
 become byte pieces, so decoding gives back every text exactly.
 
+The public vocabulary is a byte-pair model, whose scores are the order of its
+merges, not log-probabilities. The paths here are the best by the sum of these
+scores, as a unigram model would take them; they are not what the library's
+``encode`` returns for that model, which applies the merges one by one, and have
+some 14 % more pieces.
+
 Defined results: a null text gives null ids, no pieces and no paths; an empty
 text has one empty path of score 0; paths of equal score come in the order of
 the search, which depends on the text alone; other columns are ignored.
