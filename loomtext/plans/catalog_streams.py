@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomtext.functions import clock, services as V
-from loomtext.operators import media as D, routing as R, streams as S
+from loomtext.operators import media as D, readable as RD, routing as R, streams as S
 from loomtext.plans import extract as X
 from loomtext.plans.registry import query
 
@@ -99,3 +99,8 @@ def routed_pages(t):
     out = X.extract(t("pages").select("page_id", link.alias("url"), "html", said.alias("said")), transcript_col="said")
     sure = (k % 3 == 0) | (F.col("strategy") != "html")
     return out.select("page_id", "strategy", "probe", F.when(sure, F.col("content")).alias("content"), F.when(F.col("strategy") != "html", F.col("video_url")).alias("video_url"), F.when(F.col("strategy") != "html", F.col("is_video_only")).otherwise(False).alias("is_video_only"), F.when(sure, F.col("short")).alias("short"))
+
+
+@query()
+def readable_pages(t):
+    return RD.readable_texts(t("pages"), "page_id", "html").select("page_id", F.md5("text").alias("digest"), F.length("text").alias("n_chars"), F.round("score", 6).alias("score"))
