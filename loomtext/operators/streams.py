@@ -89,6 +89,29 @@ def stream_ends(chunks: DataFrame, timeout_ms: int, ttl_ms: int) -> DataFrame:
     return out.select("stream_id", "status", "ended", (F.col("ended") + ttl_ms).alias("expires"), "started", chunks_in.alias("chunks"), (F.col("all_") - chunks_in - F.col("gone")).alias("late"), "gone")
 
 
+class Throttle:
+    """The time of the last update that was shown."""
+
+    def __init__(self, gap: int):
+        self.gap, self.last = gap, None
+
+    def step(self, at, seq) -> list[tuple]:
+        if at is None or self.last is not None and at - self.last < self.gap:
+            return []
+        self.last = at
+        return [(at, seq)]
+
+    def finish(self) -> list[tuple]:
+        return []
+
+
+def throttled(updates: DataFrame, key: str, at: str, seq: str, gap_ms: int = 100) -> DataFrame:
+    """(key, at, seq) of the updates that are shown: a key's first, then each at least
+    ``gap_ms`` behind the last one shown; updates without a time are not."""
+    kinds = {f.name: f.dataType.simpleString() for f in updates.schema}
+    return folded(updates, key, [at, seq], [at, seq], lambda: Throttle(gap_ms), f"`{at}` {kinds[at]}, `{seq}` {kinds[seq]}")
+
+
 class EarlyEnd:
     """Bytes so far, the marks seen and a tail in which one may yet be completed."""
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from loomtext.functions import clock, dom, payloads, services as V, text as T, urls
 from loomtext.operators import cache as C, media as D, metrics as M, routing as R, streams as S, thinning as N, timeline as L
-from loomtext.plans import catalog_services as _services, catalog_streams as _streams, extract as X  # noqa: F401 - they register queries
+from loomtext.plans import catalog_services as _services, catalog_states as _states, catalog_streams as _streams, extract as X  # noqa: F401 - they register queries
 from loomtext.plans.goldens import GOLDENS
 from loomtext.plans.registry import ORACLES, QUERIES, query
 

@@ -241,6 +241,7 @@ def cases_payload() -> dict[str, tuple[Column, str | None]]:
         "SL-10 transcript": (P.preferred_transcript(P.transcript_candidates(s(feed)))["url"], "http://a/@v@.json"),
         "H-28 text": (P.message_text(s('{"data":{"text":"@w@","note_tweet":{"text":"a longer @w@"}}}')), "a longer @w@"),
         "J-07 author": (j(P.message_author(s('{"data":{"author_id":"2"},"includes":{"users":[{"id":"1","name":"A"},{"id":"2","name":"@w@","username":"u@n@"}]}}'))), '{"name":"@w@","username":"u@n@"}'),
+        "H-28 variant": (P.best_variant(F.from_json(s('[{"content_type":"video/mp4","bit_rate":1,"url":"a"},{"content_type":"video/mp4","bit_rate":9@n@,"url":"@w@"},{"content_type":"application/x","url":"c"}]'), "array<struct<content_type:string,bit_rate:long,url:string>>")), "@w@"),
         "H-30 probe": (j(P.probe(s('{"streams":[{"codec_type":"audio","duration":"9"},{"codec_type":"video","duration":"12.5","width":64@n@,"height":360}],"format":{"duration":"13"}}'))), '{"seconds":12.5,"width":64@n@,"height":360}'),
         "H-29 time": (b(P.showinfo_time(s("[Parsed_showinfo] n:1 pts_time:@n@.5 @w@"))), q("((n || '.5')::DOUBLE)::VARCHAR")),
         "PF-14 age": (P.availability(s("<p>@w@"), s("LOGIN_REQUIRED"), s("Sign in to confirm your age, @w@")), "age_restricted"),

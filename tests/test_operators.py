@@ -179,3 +179,14 @@ def test_size_limit_in_crowded_access_times(spark):
                 break
             want.add(key)
         assert {r.key for r in C.within_size(cache, most, 4, 5).collect()} == want
+
+
+def test_reports_and_slide_records(spark, tmp_path):
+    rows = spark.createDataFrame([(1, None), (2, "x")], "id int, text string")
+    files.write_report(rows, str(tmp_path / "report"))
+    lines = sorted(line for path in (tmp_path / "report").glob("*.json") for line in path.read_text().splitlines())
+    assert lines == ['{"id":1,"text":null}', '{"id":2,"text":"x"}']
+    slide = "array<struct<index:int,path:string>>"
+    records = spark.createDataFrame([("a", 5, [(1, "p")]), ("b", 5, [(1, "p"), (2, None)]), ("c", 6, [(1, "p")]), ("d", None, [(1, "p")]), ("e", 5, [])], f"id string, most int, slides {slide}")
+    assert {r.id for r in files.valid_slides(records, spark.createDataFrame([(5,)], "most int"), ["most"]).collect()} == {"a", "e"}
+    assert {r.id for r in files.valid_slides(records, spark.createDataFrame([(None,)], "most int"), ["most"]).collect()} == {"d"}
