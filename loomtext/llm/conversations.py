@@ -285,3 +285,36 @@ def repair(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", dam
     else:
         schema = f"`{id_col}` {kind}, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired_sha256 string"
     return conversations(streamed(judged(own)), schema, turns)
+
+
+def oracle_sql() -> str:
+    """The same reports as DuckDB SQL over ids that are not null: CRC-32 as a fold over
+    a key's bytes, one recursion for the cost-to-go and one for the walk."""
+    step = "(CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"
+    cost = lambda q, keep, due: f"least({DELETE} + c{q}, CASE WHEN goes THEN 1000000000 ELSE least({REROLE} + cut + c{due}, {keep}) END)"
+    kept = lambda *cases: "CASE r " + " ".join(f"WHEN '{r}' THEN cut + c{to}" for r, to in cases) + " ELSE 1000000000 END"
+    raw = ", ".join(f"{x} AS x{q}" for q, x in enumerate((cost(0, kept(("s", 1), ("u", 2)), 2), cost(1, kept(("u", 2)), 2), cost(2, kept(("a", 3)), 3), cost(3, kept(("u", 2)), 2))))
+    return rf"""WITH RECURSIVE
+crc AS (SELECT i, 0 AS n, i AS c FROM range(256) AS r(i) UNION ALL SELECT i, n + 1, {step} FROM crc WHERE n < 8),
+tab AS (SELECT list(c ORDER BY i) AS t FROM crc WHERE n = 8),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda s: ascii(s)::BIGINT) AS x FROM conversations),
+d AS (SELECT conv_id, turn, role, text, xor(list_reduce(x, lambda c, y: xor(c >> 8, t[xor(c & 255, y) + 1]), 4294967295), 4294967295) % 20 AS kind FROM k, tab),
+e AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM d),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i FROM e),
+f AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen, (NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$'))::INT AS cut, substr(role, 1, 1) AS r, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o),
+g AS (SELECT *, blank OR seen AS goes FROM f),
+sizes AS (SELECT conv_id, count(*) AS n FROM g GROUP BY conv_id),
+c AS (SELECT conv_id, n AS i, 0 AS c0, 4 AS c1, 2 AS c2, 0 AS c3 FROM sizes
+ UNION ALL SELECT conv_id, i, least(x0, {INSERT} + least(x2, {INSERT} + least(x3, {INSERT} + x2))), least(x1, {INSERT} + least(x2, {INSERT} + least(x3, {INSERT} + x2))), least(x2, {INSERT} + least(x3, {INSERT} + x2)), least(x3, {INSERT} + x2)
+ FROM (SELECT c.conv_id, c.i - 1 AS i, {raw} FROM c JOIN g ON g.conv_id = c.conv_id AND g.i = c.i)),
+h AS (SELECT c.conv_id, c.i, [c0, c1, c2, c3] AS here, lead([c0, c1, c2, c3]) OVER (PARTITION BY c.conv_id ORDER BY c.i) AS next, role, text, goes, cut, r FROM c LEFT JOIN g ON g.conv_id = c.conv_id AND g.i = c.i + 1),
+w AS (SELECT conv_id, 0::BIGINT AS i, 0 AS q, '' AS audit, []::VARCHAR[] AS said FROM sizes
+ UNION ALL SELECT conv_id, CASE letter WHEN 'I' THEN i ELSE i + 1 END, CASE letter WHEN 'D' THEN q WHEN 'K' THEN kept ELSE due END, audit || letter,
+ CASE letter WHEN 'D' THEN said WHEN 'K' THEN list_append(said, role || ':' || text) ELSE list_append(said, CASE due WHEN 2 THEN 'user:' ELSE 'assistant:' END || CASE letter WHEN 'R' THEN text ELSE '' END) END
+ FROM (SELECT *, CASE WHEN next IS NOT NULL AND {DELETE} + next[q + 1] = here[q + 1] THEN 'D' WHEN {INSERT} + here[due + 1] = here[q + 1] THEN 'I' WHEN NOT goes AND kept IS NOT NULL AND cut + next[kept + 1] = here[q + 1] THEN 'K' ELSE 'R' END AS letter
+  FROM (SELECT w.conv_id, w.i, w.q, w.audit, w.said, here, next, role, text, goes, cut, CASE WHEN q = 2 THEN 3 ELSE 2 END AS due, CASE WHEN r = 's' AND q = 0 THEN 1 WHEN r = 'u' AND q <> 2 THEN 2 WHEN r = 'a' AND q = 2 THEN 3 END AS kept FROM w JOIN h ON h.conv_id = w.conv_id AND h.i = w.i)
+  WHERE next IS NOT NULL OR here[q + 1] > 0)),
+ends AS (SELECT w.conv_id, audit, said FROM w JOIN sizes USING (conv_id) JOIN h ON h.conv_id = w.conv_id AND h.i = w.i WHERE w.i = n AND here[q + 1] = 0),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (seen AND NOT blank) AS duplicate, count(*) FILTER (cut = 1 AND NOT goes) AS truncated, count(*) FILTER (before IS NOT NULL AND before || r NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY conv_id)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(c0, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN counts USING (conv_id) LEFT JOIN ends USING (conv_id) LEFT JOIN (SELECT conv_id, c0 FROM c WHERE i = 0) AS z USING (conv_id)"""

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomtext.llm.ann import nearest_neighbours
-from loomtext.llm.conversations import repair
+from loomtext.llm.conversations import oracle_sql as repair_sql, repair
 from loomtext.llm.htmltext import extract_text
 from loomtext.llm.langid import language_id
 from loomtext.llm.licenses import scan_licenses
@@ -94,4 +94,4 @@ QUERIES = {
 }
 
 #: DuckDB SQL by query; the others are tested against brute-force versions.
-ORACLES: dict[str, str] = {"op8_url_filter": url_sql(), "op13_importance_resampling": resampling_sql()}
+ORACLES: dict[str, str] = {"op8_url_filter": url_sql(), "op11_conversation_repair": repair_sql(), "op13_importance_resampling": resampling_sql()}

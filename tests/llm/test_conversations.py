@@ -7,6 +7,7 @@ import zlib
 import pytest
 
 from loomtext.llm import conversations as C
+from tests.compare import duck_rows, spark_rows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]")
 
@@ -166,3 +167,9 @@ def test_nothing_left_long_texts_repeats_and_no_rows(spark):
     assert C.repair(frame(spark, rows).limit(0)).count() == 0
     plain = got(frame(spark, [(1, 0, "user", "Hi."), (1, 1, "assistant", "Yes."), (1, 1, "assistant", "Yes.")]), damage=False)
     assert plain[1][:7] == (0, 0, 1, 0, 1, 3, "KKD")
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_equals_sql(spark, folder):
+    path = f"/root/testdata/{folder}"
+    assert spark_rows(C.repair(spark.read.parquet(f"{path}/conversations.parquet"))) == duck_rows(C.oracle_sql(), path)
