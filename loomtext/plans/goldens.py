@@ -44,6 +44,13 @@ def j(x: Column) -> Column:
     return F.to_json(x)
 
 
+def number(x: Column) -> Column:
+    """A double in plain decimals, as SQL writes it; Spark's own cast turns to exponents at ten million."""
+    x = x.cast("double")
+    plain = F.regexp_replace(x.cast("decimal(30,10)").cast("string"), r"(\.\d+?)0+$", "$1")
+    return F.when(F.abs(x).between(1e7, 1e15), plain).otherwise(x.cast("string"))
+
+
 def cases_text() -> dict[str, tuple[Column, str | None]]:
     budget = T.content_budget(F.concat(s("@w@ "), s("word. " * 200)), 600)
     return {
@@ -171,18 +178,18 @@ def cases_time() -> dict[str, tuple[Column, str | None]]:
         "D-03 null": (b(K.parse_clock_ms(s(None))), None),
         "D-04 ms": (b(K.parse_time_ms(s("@n@"))), "@n@"),
         "D-04 seconds": (b(K.parse_time_ms(s("@n@.5"), True)), q("(k * 1000 + 500)::VARCHAR")),
-        "D-05 seconds": (b(K.parse_seconds(s("@n@:00:05"))), q("((k * 3600 + 5)::DOUBLE)::VARCHAR")),
+        "D-05 seconds": (number(K.parse_seconds(s("@n@:00:05"))), q("((k * 3600 + 5)::DOUBLE)::VARCHAR")),
         "D-06 timed": (K.timed_text(seg), q("'[0:01] ' || w || ' b' || chr(10) || '[' || ((k + 3600) // 3600) || ':' || lpad(((k + 3600) // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((k % 60)::VARCHAR, 2, '0') || '] c'")),
         "D-07 parse": (j(K.parse_timed_text(s("[0:09] @w@\nx\n[0:01] a@n@"))), '[{"at":1.0,"text":"a@n@"},{"at":9.0,"text":"@w@"}]'),
         "D-10 round": (b(K.round_threshold(k() * 0 + 0.125)), "0.13"),
         "D-12 segments": (b(F.size(L.split_segments(x, 3))), q("greatest(1, least(3, ceil(k / 60)))::INT::VARCHAR")),
-        "D-12 interval": (b(L.interval_times(x, 12, 3)["interval"]), q("CASE WHEN k > 0 THEN (CASE WHEN k / 3 > 12 THEN k / 3 ELSE 12 END)::DOUBLE::VARCHAR END")),
+        "D-12 interval": (number(L.interval_times(x, 12, 3)["interval"]), q("CASE WHEN k > 0 THEN (CASE WHEN k / 3 > 12 THEN k / 3 ELSE 12 END)::DOUBLE::VARCHAR END")),
         "D-13 samples": (b(F.size(L.calibration_times(x, 8))), q("CASE WHEN k > 0 THEN '8' ELSE '1' END")),
         "D-14 hash": (j(K.average_hash(F.array(k() + 1, k() + 2, k() + 3, k() + 6))), "[0,0,1,1]"),
         "D-14 distance": (b(K.hash_distance(nums(k() % 2, 0, 1, 1), nums(1, 1, 1, 0))), q("CASE WHEN k % 2 = 1 THEN '0.5' ELSE '0.75' END")),
         "D-15 threshold": (j(L.scene_threshold(L.diff_stats(nums(0.1, 0.2, 0.3)), (k() * 0 + 3))), '{"threshold":0.05,"confidence":1.0}'),
-        "D-16 adjust": (b(L.adjusted(x, x, x + 10)), q("(k + 0.8)::DOUBLE::VARCHAR")),
-        "D-16 extracted": (b(L.extracted_time(x + 20, F.lit(1.5), x + 19)), q("CASE WHEN k <= 0 THEN '20.5' ELSE (k + 20.5)::DOUBLE::VARCHAR END")),
+        "D-16 adjust": (number(L.adjusted(x, x, x + 10)), q("(k + 0.8)::DOUBLE::VARCHAR")),
+        "D-16 extracted": (number(L.extracted_time(x + 20, F.lit(1.5), x + 19)), q("CASE WHEN k <= 0 THEN '20.5' ELSE (k + 20.5)::DOUBLE::VARCHAR END")),
         "D-19 tokens": (b(K.completion_tokens(k())), q("greatest(256, ceil(k / 4))::BIGINT::VARCHAR")),
         "D-20 words": (b(K.words_from_chars(k() * 6)), "@n@"),
         "D-20 minutes": (b(K.minutes_from_words(k() * 160 + 161)), q("(k + 2)::VARCHAR")),
@@ -198,8 +205,8 @@ def cases_time() -> dict[str, tuple[Column, str | None]]:
         "J-11 interleave": (L.interleaved(s("[0:01] @w@\n[0:09] b"), F.array(F.struct(F.lit(5.0).alias("at"), F.lit(1).alias("index")), F.struct(F.lit(20.0).alias("at"), F.lit(2).alias("index")))), "[0:01] @w@\n[slide:1]\n[0:09] b\n[slide:2]"),
         "J-10 prompt": (L.slide_prompt(F.array(F.struct(F.lit(10.0).alias("at"), F.lit(1).alias("index"))), F.array(F.struct(F.lit(12.0).alias("at"), s("@w@").alias("text"))), 500), "[slide:1] [0:00–0:50]\n@w@"),
         "AG-13 last": (b(L.last_time(F.array(F.struct(F.lit(1000).alias("startMs"), F.lit(9500).alias("endMs"))), s("[0:11] @w@"), F.lit(10.5))), "11"),
-        "AG-10 middle": (b(M.middle(nums(x + 4, x + 1, x + 3, x + 2))), q("(k + 2.5)::DOUBLE::VARCHAR")),
-        "AG-10 upper": (b(M.upper_middle(nums(x + 4, x + 1, x + 3, x + 2))), q("(k + 3)::DOUBLE::VARCHAR")),
+        "AG-10 middle": (number(M.middle(nums(x + 4, x + 1, x + 3, x + 2))), q("(k + 2.5)::DOUBLE::VARCHAR")),
+        "AG-10 upper": (number(M.upper_middle(nums(x + 4, x + 1, x + 3, x + 2))), q("(k + 3)::DOUBLE::VARCHAR")),
         "T-30 elapsed": (K.elapsed(k() * 60_000 + 184_000), q("CASE WHEN k + 3 < 60 THEN (k + 3) || 'm 4s' ELSE ((k + 3) // 60) || 'h ' || ((k + 3) % 60) || 'm 4s' END")),
         "T-30 bytes": (K.byte_size(k() % 1024), q("(k % 1024) || ' B'")),
         "T-30 count": (K.compact_count(k() % 1000), q("(k % 1000)::VARCHAR")),
@@ -213,6 +220,7 @@ def cases_payload() -> dict[str, tuple[Column, str | None]]:
     vtt = "WEBVTT\n\nNOTE x\n\n1\n00:01.000 --> 00:02.500 align:left\nHello\n@w@\n\nbad --> 00:03.000\nno\n\n00:00:04,000 --> x\nEnd @n@"
     tracks = F.from_json(s('[{"language":"de","kind":"","url":"1"},{"language":"en","kind":"asr","url":"2"},{"language":"EN","kind":"","url":"@w@"},{"language":"en","kind":"","url":"@n@"}]'), "array<struct<language:string,kind:string,url:string>>")
     none = F.array().cast("array<struct<language:string,kind:string,url:string>>")
+    progress = P.download_progress(s("progress:1@n@|NA|40"))
     sums = F.create_map(s("a"), s('{"prompt":@n@,"total":0}'), s("b"), s('{"prompt":2,"completion":4}'))
     b = lambda c: c.cast("string")
     return {
@@ -222,8 +230,8 @@ def cases_payload() -> dict[str, tuple[Column, str | None]]:
         "AG-05 models": (j(P.model_sums(sums)), q("""'{"prompt":' || (k + 2) || ',"completion":4,"total":' || (CASE WHEN k = 0 THEN 6 ELSE k + 6 END) || '}'""")),
         "AG-06 jsonl": (j(P.jsonl_usage(s('@w@\n{"usage":{"input_tokens":@n@},"cost_usd":0.5}\n{"usage":{"input_tokens":2,"output_tokens":3},"cost_usd":0.7}'))), '{"prompt":2,"completion":3,"cost":0.5}'),
         "H-27 result": (P.result_text(s('log\n{"result":" ","response":"@w@ @n@"}')), "@w@ @n@"),
-        "X-11 duration": (b(P.duration_line(s('x\n{"duration":0}\n{"duration":1@n@.5}'))), q("(('1' || n || '.5')::DOUBLE)::VARCHAR")),
-        "X-10 progress": (j(P.download_progress(s("progress:1@n@|NA|40"))), q("""'{"done":' || (('1' || n)::DOUBLE)::VARCHAR || ',"total":40.0}'""")),
+        "X-11 duration": (number(P.duration_line(s('x\n{"duration":0}\n{"duration":1@n@.5}'))), q("(('1' || n || '.5')::DOUBLE)::VARCHAR")),
+        "X-10 progress": (j(progress.withField("done", progress["done"].cast("decimal(20,1)"))), q("""'{"done":' || (('1' || n)::DOUBLE)::VARCHAR || ',"total":40.0}'""")),
         "H-21 vtt": (j(P.vtt_segments(s(vtt))), '[{"startMs":1000,"endMs":2500,"text":"Hello @w@"},{"startMs":4000,"text":"End @n@"}]'),
         "H-21 text": (P.vtt_text(s("WEBVTT\n\nplain @w@\n12\nwords")), "plain @w@\nwords"),
         "H-21 null": (P.vtt_text(s(None)), None),
@@ -243,7 +251,7 @@ def cases_payload() -> dict[str, tuple[Column, str | None]]:
         "J-07 author": (j(P.message_author(s('{"data":{"author_id":"2"},"includes":{"users":[{"id":"1","name":"A"},{"id":"2","name":"@w@","username":"u@n@"}]}}'))), '{"name":"@w@","username":"u@n@"}'),
         "H-28 variant": (P.best_variant(F.from_json(s('[{"content_type":"video/mp4","bit_rate":1,"url":"a"},{"content_type":"video/mp4","bit_rate":9@n@,"url":"@w@"},{"content_type":"application/x","url":"c"}]'), "array<struct<content_type:string,bit_rate:long,url:string>>")), "@w@"),
         "H-30 probe": (j(P.probe(s('{"streams":[{"codec_type":"audio","duration":"9"},{"codec_type":"video","duration":"12.5","width":64@n@,"height":360}],"format":{"duration":"13"}}'))), '{"seconds":12.5,"width":64@n@,"height":360}'),
-        "H-29 time": (b(P.showinfo_time(s("[Parsed_showinfo] n:1 pts_time:@n@.5 @w@"))), q("((n || '.5')::DOUBLE)::VARCHAR")),
+        "H-29 time": (number(P.showinfo_time(s("[Parsed_showinfo] n:1 pts_time:@n@.5 @w@"))), q("((n || '.5')::DOUBLE)::VARCHAR")),
         "PF-14 age": (P.availability(s("<p>@w@"), s("LOGIN_REQUIRED"), s("Sign in to confirm your age, @w@")), "age_restricted"),
         "PF-14 bot": (P.availability(s("Unusual traffic @n@"), s("OK"), s(None)), "bot_check"),
         "PF-14 fine": (P.availability(s("<p>@w@"), s("OK"), s(None)), None),
@@ -294,6 +302,7 @@ def cases_option() -> dict[str, tuple[Column, str | None]]:
 def cases_service() -> dict[str, tuple[Column, str | None]]:
     b = lambda c: c.cast("string")
     player = 'x ytInitialPlayerResponse = {"videoDetails":{"title":"@w@","lengthSeconds":"6@n@"},"captions":{"playerCaptionsTracklistRenderer":{"captionTracks":[{"languageCode":"en","baseUrl":"@v@"}]}},"playabilityStatus":{"status":"ERROR","errorScreen":{"playerErrorMessageRenderer":{"reason":{"runs":[{"text":"Not"},{"text":"@w@"}]}}}}};'
+    facts = V.player_facts(V.player_response(s(player)))
     panel = '{"actions":[{"updateEngagementPanelAction":{"content":{"transcriptRenderer":{"content":{"transcriptSearchPanelRenderer":{"body":{"transcriptSegmentListRenderer":{"initialSegments":[{"transcriptSegmentRenderer":{"startMs":"5","endMs":"9@n@","snippet":{"runs":[{"text":"@w@ "},{"text":"b"}]}}}]}}}}}}}}]}'
     embed = '<script id="__NEXT_DATA__" type="x">{"props":{"pageProps":{"state":{"data":{"entity":{"subtitle":"S @w@","title":"E@n@","duration":1500},"defaultAudioFileObject":{"format":"MP4_128_CBCS"}}}}}}</script>'
     return {
@@ -318,7 +327,7 @@ def cases_service() -> dict[str, tuple[Column, str | None]]:
         "X-03 request": (V.request_body(s('{"url":"ftp://@w@","mode":"PAGE","maxCharacters":5}'))["problem"], "missing url"),
         "X-03 mode": (V.request_body(s('{"url":"http://@w@","mode":"PAGE","text":"t","maxExtractCharacters":5}'))["mode"], "page"),
         "X-03 url": (V.request_body(s('{"url":"http://@w@/@n@"}'))["url"], "http://@w@/@n@"),
-        "H-15 player": (j(V.player_facts(V.player_response(s(player)))), q("""'{"title":"' || w || '","seconds":' || (('6' || n)::DOUBLE)::VARCHAR || ',"tracks":[{"language":"en","kind":"","url":"' || v || '"}]}'""")),
+        "H-15 player": (j(facts.withField("seconds", facts["seconds"].cast("decimal(20,1)"))), q("""'{"title":"' || w || '","seconds":' || (('6' || n)::DOUBLE)::VARCHAR || ',"tracks":[{"language":"en","kind":"","url":"' || v || '"}]}'""")),
         "H-16 reason": (V.playability_reason(V.player_response(s(player))), "Not @w@"),
         "H-17 embed": (j(V.podcast_embed(s(embed))), '{"show":"S @w@","episode":"E@n@","seconds":1.5,"format":"MP4_128_CBCS"}'),
         "H-17 none": (j(V.podcast_embed(s("<p>@w@"))), None),
@@ -365,7 +374,7 @@ class _Literals:
 
 
 def _sql(cases) -> str:
-    names = ("F", "K", "MD", "O", "P", "scan", "T", "U", "V", "M", "L", "s", "nums", "j", "k")
+    names = ("F", "K", "MD", "O", "P", "scan", "T", "U", "V", "M", "L", "s", "nums", "number", "j", "k")
     own = {n: globals()[n] for n in names}
     globals().update(dict.fromkeys(names, _Literals()))
     try:
