@@ -20,6 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from loomtext.functions import dom
+from loomtext.functions.batches import slices
 
 #: Weights of elements and of words in their names, and thresholds of the scores; fixed values.
 BASE = {"div": 5, "pre": 3, "td": 3, "blockquote": 3, "address": -3, "ol": -3, "ul": -3, "dl": -3, "dd": -3, "dt": -3, "li": -3, "form": -3, "h1": -5, "h2": -5, "h3": -5, "h4": -5, "h5": -5, "h6": -5, "th": -5}
@@ -68,7 +69,7 @@ def page_nodes(pages: DataFrame, key: str, html: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = to_arrow_schema(struct)
         for batch in batches:
-            for k, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for k, page in (row for part in slices((batch.column(0), batch.column(1))) for row in zip(*(c.to_pylist() for c in part))):
                 rows = list(zip(*nodes_of(dom.visible(page or ""))))
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(rows[0]), schema[0].type), *(pa.array(c, f.type) for c, f in zip(rows, list(schema)[1:]))], schema=schema)
 
