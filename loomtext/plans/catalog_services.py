@@ -165,5 +165,5 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 def token_counts(t):
     docs = t("documents")
     columns = tokens.TokenColumns(docs.sparkSession, tokens.read_ranks(docs.sparkSession, RANKS))
-    cut = columns.fitted(F.col("text"), F.lit(200))
-    return docs.select("doc_id", columns.count(F.col("text")).alias("n_tokens"), F.md5(cut).alias("cut_digest"), F.length(cut).alias("cut_chars"))
+    rows = docs.select("doc_id", columns.counted(F.col("text"), F.lit(200)).alias("t"))
+    return rows.select("doc_id", F.col("t.n").alias("n_tokens"), F.md5("t.cut").alias("cut_digest"), F.length("t.cut").alias("cut_chars"))

@@ -81,3 +81,22 @@ def test_query_over_the_table(spark, sf, ranks, library):
     for r in catalog.QUERIES["token_counts"](spark, sf).collect():
         assert r.n_tokens == len(library.encode_ordinary(texts[r.doc_id]))
         assert r.cut_chars == len(own.fitted(texts[r.doc_id], 200)) and (r.n_tokens > 200) == (r.cut_chars < len(texts[r.doc_id]))
+
+
+def test_short_pieces_merge_as_long_ones(ranks):
+    rnd = random.Random(3)
+    for _ in range(5000):
+        piece = "".join(rnd.choice("the ingaéß日🙂") for _ in range(rnd.randint(0, 24))).encode()
+        assert tokens.short_parts(piece, ranks) == tokens.merged_parts(piece, ranks)
+
+
+def test_a_text_is_counted_once(spark, ranks, library):
+    own, counted = tokens.Tokens(ranks), []
+    count, own.count = own.count, lambda t: counted.append(t) or count(t)
+    text = "Some words of it. " * 400
+    assert own.fitted(text, 50, count(text)) == tokens.Tokens(ranks).fitted(text, 50) and text not in counted
+    columns = tokens.TokenColumns(spark, ranks)
+    texts = [None, "", "a b", text, "x" * 2_000_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for r in df.select("t", columns.counted(F.col("t"), F.lit(60)).alias("c"), columns.count(F.col("t")).alias("n"), columns.fitted(F.col("t"), F.lit(60)).alias("cut")).collect():
+        assert (r.c.n, r.c.cut) == (r.n, r.cut) and r.n == (None if r.t is None else len(library.encode_ordinary(r.t)) if len(r.t) < 100_000 else r.n)
