@@ -61,8 +61,8 @@ def last_json(output: Column) -> Column:
 
 def result_text(output: Column) -> Column:
     """First non-blank of the result fields of a command's JSON output."""
-    v = last_json(output)
-    return F.coalesce(*(F.nullif(T.trim(field(v, f"$.{name}")), F.lit("")) for name in ("result", "response", "output", "message", "text")))
+    said = lambda v, name: T.bound(T.trim(field(v, f"$.{name}")), lambda x: F.nullif(x, F.lit("")))
+    return T.bound(last_json(output), lambda v: F.coalesce(*(said(v, name) for name in ("result", "response", "output", "message", "text"))))
 
 
 def json_lines(output: Column) -> Column:
@@ -94,6 +94,18 @@ def download_progress(line: Column) -> Column:
     return F.when(line.rlike("progress:") & n(0).isNotNull(), F.struct(n(0).alias("done"), total.alias("total")))
 
 
+def _any(found: Column) -> Column:
+    return T.bound(found, lambda f: F.when(F.size(f) > 0, f))
+
+
+def _clock_ms(text: Column) -> Column:
+    return T.bound(text, clock.parse_clock_ms)
+
+
+def _time_ms(text: Column, seconds: bool = False) -> Column:
+    return T.bound(text, lambda x: clock.parse_time_ms(x, seconds))
+
+
 _SEGMENT = "array<struct<startMs:bigint,endMs:bigint,text:string>>"
 
 
@@ -101,49 +113,52 @@ def _segments(items: Column) -> Column:
     """Segments of an array of variants; times in milliseconds or seconds, texts under text or utf8."""
     def when(v, ms, seconds):
         as_text = lambda p: F.try_variant_get(v, p, "string")
-        return F.coalesce(clock.parse_time_ms(as_text(ms)), clock.parse_time_ms(as_text(seconds), True))
+        return F.coalesce(_time_ms(as_text(ms)), _time_ms(as_text(seconds), True))
 
     rows = F.transform(items, lambda v: F.struct(when(v, "$.startMs", "$.start").alias("startMs"), when(v, "$.endMs", "$.end").alias("endMs"), F.trim(F.regexp_replace(F.coalesce(field(v, "$.text"), field(v, "$.utf8")), r"\s+", " ")).alias("text")))
     return F.filter(rows, lambda s: s["startMs"].isNotNull() & (s["text"] != "")).cast(_SEGMENT)
 
 
+def _items(v: Column) -> Column:
+    return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.try_variant_get(v, "$.segments", "array<variant>"))
+
+
 def json_segments(raw: Column) -> Column:
     """Segments of a JSON transcript: an array, or an object with ``segments``; null if none."""
-    v = parsed(raw)
-    items = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.try_variant_get(v, "$.segments", "array<variant>"))
-    found = _segments(items)
-    return F.when(F.size(found) > 0, found)
+    return _any(_segments(T.bound(parsed(raw), _items)))
 
 
 def json_transcript_text(raw: Column) -> Column:
     """Text of a JSON transcript: transcript, text, or the segments' texts by line."""
-    v = parsed(raw)
-    said = F.array_join(F.transform(json_segments(raw), lambda s: s["text"]), "\n")
-    items = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.try_variant_get(v, "$.segments", "array<variant>"))
-    loose = F.array_join(F.filter(F.transform(items, lambda x: F.trim(field(x, "$.text"))), lambda x: x != ""), "\n")
-    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
-    return F.coalesce(blank(field(v, "$.transcript")), blank(field(v, "$.text")), blank(said), blank(loose))
+    blank = lambda c: T.bound(F.trim(c), lambda x: F.nullif(x, F.lit("")))
+
+    def text(v):
+        said = F.array_join(F.transform(_segments(_items(v)), lambda s: s["text"]), "\n")
+        loose = F.array_join(F.filter(F.transform(_items(v), lambda x: F.trim(field(x, "$.text"))), lambda x: x != ""), "\n")
+        return F.coalesce(blank(field(v, "$.transcript")), blank(field(v, "$.text")), blank(said), blank(loose))
+
+    return T.bound(parsed(raw), lambda v: F.when(v.isNotNull(), text(v)))
 
 
 def timed_events(raw: Column) -> Column:
     """Segments of a caption payload of events with start, duration and pieces; null if none."""
     events = F.try_variant_get(parsed(raw), "$.events", "array<variant>")
-    ms = lambda e, p: clock.parse_time_ms(F.try_variant_get(e, p, "string"))
+    ms = lambda e, p: _time_ms(F.try_variant_get(e, p, "string"))
     said = lambda e: F.trim(F.array_join(F.transform(F.try_variant_get(e, "$.segs", "array<variant>"), lambda s: F.coalesce(field(s, "$.utf8"), F.lit(""))), ""))
     rows = F.transform(events, lambda e: F.struct(ms(e, "$.tStartMs").alias("startMs"), (ms(e, "$.tStartMs") + ms(e, "$.dDurationMs")).alias("endMs"), F.regexp_replace(said(e), r"\s+", " ").alias("text")))
     found = F.filter(rows, lambda s: s["startMs"].isNotNull() & (s["text"] != ""))
-    return F.when(F.size(found) > 0, found)
+    return _any(found)
 
 
 def xml_captions(raw: Column) -> Column:
     """Segments of ``<text start dur>`` elements, times in seconds; null if none."""
     tags = F.regexp_extract_all(raw, F.lit(r"(?is)<text[^>]*>.*?</text>"), F.lit(0))
     attr = lambda t, name: F.nullif(F.regexp_extract(t, rf"(?i)\b{name}\s*=\s*[\"']([^\"']+)[\"']", 1), F.lit(""))
-    ms = lambda t, name: clock.parse_time_ms(attr(t, name), True)
+    ms = lambda t, name: _time_ms(attr(t, name), True)
     body = lambda t: F.trim(F.regexp_replace(T.decode_html_entities(F.regexp_extract(t, r"(?is)<text[^>]*>(.*?)</text>", 1)), r"\s+", " "))
     rows = F.transform(tags, lambda t: F.struct(ms(t, "start").alias("startMs"), (ms(t, "start") + ms(t, "dur")).alias("endMs"), body(t).alias("text")))
     found = F.filter(rows, lambda s: s["startMs"].isNotNull() & (s["text"] != ""))
-    return F.when(F.size(found) > 0, found)
+    return _any(found)
 
 
 def vtt_segments(raw: Column) -> Column:
@@ -167,13 +182,13 @@ def vtt_segments(raw: Column) -> Column:
 
     cues = F.aggregate(lines, empty, step, lambda s: s["cues"])
     side = lambda c, n: F.trim(F.split_part(c["head"], F.lit("-->"), F.lit(n)))
-    rows = F.transform(cues, lambda c: F.struct(clock.parse_clock_ms(side(c, 1)).alias("startMs"), clock.parse_clock_ms(F.split_part(F.regexp_replace(side(c, 2), r"\s+", " "), F.lit(" "), F.lit(1))).alias("endMs"), F.trim(F.regexp_replace(F.array_join(c["text"], " "), r"\s+", " ")).alias("text")))
+    rows = F.transform(cues, lambda c: F.struct(_clock_ms(side(c, 1)).alias("startMs"), _clock_ms(F.split_part(F.regexp_replace(side(c, 2), r"\s+", " "), F.lit(" "), F.lit(1))).alias("endMs"), F.trim(F.regexp_replace(F.array_join(c["text"], " "), r"\s+", " ")).alias("text")))
     found = F.filter(rows, lambda s: s["startMs"].isNotNull() & (s["text"] != ""))
-    return F.when(F.size(found) > 0, found)
+    return _any(found)
 
 
 def segments_text(segments: Column) -> Column:
-    return F.nullif(F.trim(F.array_join(F.transform(segments, lambda s: s["text"]), "\n")), F.lit(""))
+    return T.bound(F.trim(F.array_join(F.transform(segments, lambda s: s["text"]), "\n")), lambda x: F.nullif(x, F.lit("")))
 
 
 def vtt_text(raw: Column) -> Column:
@@ -188,9 +203,9 @@ def caption_tracks(manual: Column, automatic: Column, skip_automatic: bool = Fal
     language: human before automatic, English before others, then as given."""
     both = manual if skip_automatic else F.concat(manual, automatic)
     rank = lambda t, i: F.struct(F.when(t["kind"] == "asr", 1).otherwise(0).alias("asr"), F.when(t["language"].rlike("^en(-|$)"), 0).otherwise(1).alias("other"), i.alias("pos"), t.alias("track"))
-    order = F.transform(F.array_sort(F.transform(both, rank)), lambda r: r["track"])
-    known = lambda t, i: F.exists(F.slice(order, F.lit(1), i), lambda p: (F.lower(p["language"]) == F.lower(t["language"])) & (t["language"] != ""))
-    return F.filter(order, lambda t, i: ~known(t, i))
+    ranked = F.transform(F.array_sort(F.transform(both, rank)), lambda r: r["track"])
+    known = lambda order, t, i: F.exists(F.slice(order, F.lit(1), i), lambda p: (F.lower(p["language"]) == F.lower(t["language"])) & (t["language"] != ""))
+    return T.bound(ranked, lambda order: F.filter(order, lambda t, i: ~known(order, t, i)))
 
 
 # feeds
@@ -206,7 +221,7 @@ def _cdata(value: Column) -> Column:
 def item_seconds(item: Column) -> Column:
     """Duration in seconds of ``s``, ``m:s`` or ``h:m:s``; null unless positive."""
     raw = _cdata(F.regexp_extract(item, r"(?is)<itunes:duration>(.*?)</itunes:duration>", 1))
-    return F.when((clock.parse_clock_ms(raw) > 0), F.round(clock.parse_clock_ms(raw) / 1000).cast("long"))
+    return T.bound(_clock_ms(raw), lambda ms: F.when(ms > 0, F.round(ms / 1000).cast("long")))
 
 
 def enclosure_url(item: Column) -> Column:
@@ -235,7 +250,7 @@ def loose_title(title: Column) -> Column:
 
 def episode_of(xml: Column, title: Column) -> Column:
     """First item with an enclosure whose loose title is that of ``title``."""
-    return F.get(F.filter(feed_items(xml), lambda i: (loose_title(i["title"]) == loose_title(title)) & i["url"].isNotNull()), F.lit(0))
+    return T.bound(loose_title(title), lambda wanted: F.get(F.filter(feed_items(xml), lambda i: (loose_title(i["title"]) == wanted) & i["url"].isNotNull()), F.lit(0)))
 
 
 def transcript_candidates(item: Column) -> Column:
@@ -265,10 +280,9 @@ def message_text(raw: Column) -> Column:
 
 def message_author(raw: Column) -> Column:
     """struct(name, username) of the included user whose id is the author's."""
-    v = parsed(raw)
-    users = F.try_variant_get(v, "$.includes.users", "array<struct<id:string,name:string,username:string>>")
-    hit = F.get(F.filter(users, lambda u: u["id"] == field(v, "$.data.author_id")), F.lit(0))
-    return F.when(hit.isNotNull(), F.struct(hit["name"].alias("name"), hit["username"].alias("username")))
+    users = lambda v: F.try_variant_get(v, "$.includes.users", "array<struct<id:string,name:string,username:string>>")
+    first = lambda v: T.bound(field(v, "$.data.author_id"), lambda own: F.get(F.filter(users(v), lambda u: u["id"] == own), F.lit(0)))
+    return T.bound(T.bound(parsed(raw), first), lambda hit: F.when(hit.isNotNull(), F.struct(hit["name"].alias("name"), hit["username"].alias("username"))))
 
 
 def best_variant(variants: Column) -> Column:

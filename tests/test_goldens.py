@@ -1,5 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
+from loomtext.functions import payloads
 from loomtext.plans.goldens import GOLDENS
 
 from .compare import duck_rows, spark_rows
@@ -14,3 +16,9 @@ def test_large_ids_equal_sql(spark, tmp_path, name):
     part.rename(tmp_path / "documents.parquet")
     query, sql = GOLDENS[name]
     assert spark_rows(query(spark, str(tmp_path))) == duck_rows(sql, str(tmp_path))
+
+
+@pytest.mark.parametrize("name", ["json_transcript_text", "json_segments", "message_author"])
+def test_a_payload_is_parsed_once(spark, name):
+    plan = spark.createDataFrame([("{}",)], "raw string").select(getattr(payloads, name)(F.col("raw")).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("parse_json(") == 1
