@@ -81,16 +81,16 @@ def extract(pages: DataFrame, budget: int = 8000, url_col: str = "url", html_col
     # each step's columns occur more than once in the next, so Spark computes them once
     read = read.select(
         *rest, *kept_, "facts_.video_url", F.col("facts_.site_name").alias("site_name"), F.col("facts_.article").isNotNull().alias("article_"),
-        T.first_text(F.col("facts_.ld_title"), F.col("facts_.title")).alias("title"), T.first_text(F.col("facts_.ld_description"), F.col("facts_.description")).alias("description"),
+        T.first_text(F.col("facts_.ld_title"), F.col("facts_.title")).alias("title"), T.first_text(F.col("facts_.ld_title"), F.col("facts_.read_title")).alias("heading_"), T.first_text(F.col("facts_.ld_description"), F.col("facts_.description")).alias("description"),
         T.normalize_for_prompt(F.array_join("facts_.segments", "\n")).alias("own_"), T.normalize_for_prompt(F.col("facts_.readable")).alias("readable_"),
         (urls.is_podcast_type(F.col("facts_.ld_type")) | urls.is_podcast_host(url)).alias("podcast_"), F.col("facts_.plain").alias("plain_"), F.col("facts_.html_chars").alias("chars_"),
     )
-    own, readable, title = F.col("own_"), F.col("readable_"), F.col("title")
+    own, readable, heading = F.col("own_"), F.col("readable_"), F.col("heading_")
     read = read.withColumns({"described_": T.normalize_for_prompt(F.col("description")), "use_": F.coalesce(prefers_readable(own, readable) & ~F.col("article_"), F.lit(False))})
     read = read.withColumn("chosen_", F.when(F.col("use_"), readable).otherwise(own))
     described = prefers_description(F.col("described_"), F.col("chosen_"), F.col("podcast_"), F.col("use_"))
     read = read.select(
-        *rest, *kept_, "title", "description", "site_name", F.when(described, F.col("described_")).otherwise(T.strip_leading_title(F.col("chosen_"), title)).alias("base_"),
+        *rest, *kept_, "title", "description", "site_name", F.when(described, F.col("described_")).otherwise(T.strip_leading_title(F.col("chosen_"), heading)).alias("base_"),
         "video_url", needs_scraper(F.col("plain_"), own, F.col("chars_")).alias("needs_scraper"),
     )
     none = F.lit(None).cast("string")
